@@ -217,7 +217,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[begin]) * down[begin]), counts
 
 
-def chunked_words(buf: np.ndarray, offs: np.ndarray, limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def chunked_words(buf: np.ndarray, offs: np.ndarray, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """words() in pieces of whole texts, so that its temporary arrays stay small."""
     parts = [words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in in_chunks(offs, limit)]
     if not parts:
@@ -251,7 +251,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
 # ---------------------------------------------------------------- blocks of documents
 
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, part int, data binary"
 
 
@@ -272,6 +272,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
             null = np.asarray(ids.is_null())
             data = pack(np.asarray(ids.fill_null(0)).astype(np.int64), null, offs, buf)
             yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
+            lean()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
@@ -282,9 +283,18 @@ def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return ids, null, offs, buf
 
 
-def one_row(block: int, part: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
+def lean() -> None:
+    """Gives what a worker's block has freed back to the machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def rows(found: list[tuple[int, int, bytes]]) -> pa.Table:
+    """A reply of packed rows; called at the end of a block's work, when its arrays are done with."""
+    lean()
     return pa.table({"block": pa.array([x[0] for x in found], pa.int64()), "part": pa.array([x[1] for x in found], pa.int32()), "data": pa.array([x[2] for x in found], pa.binary())})

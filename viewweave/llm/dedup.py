@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_SCHEMA, blocks_of, deltas, in_chunks, materialise, mix, open_block, pack, power_of_two, prefix_hash, rows, scan_partitions, undelta, unpack
+from .common import BLOCK_SCHEMA, blocks_of, deltas, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, prefix_hash, rows, scan_partitions, undelta, unpack
 
 GRAM = 25
 LAST = np.int64(2**63 - 1)
@@ -128,7 +128,7 @@ def common_prefix_classes(text: np.ndarray, order: np.ndarray, width: int) -> np
 # ---------------------------------------------------------------- runs of windows
 
 
-def _runs(buf: np.ndarray, offs: np.ndarray, width: int, limit: int = 1 << 21):
+def _runs(buf: np.ndarray, offs: np.ndarray, width: int, limit: int = 1 << 19):
     """Runs of neighbouring windows with one key: document, first window, windows, key."""
     span = width - GRAM + 1
     parts = []
@@ -345,6 +345,7 @@ def _cut(width: int, with_text: bool):
                     found[name].append(value)
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))}
         names = [k for k in kinds if with_text or k not in ("kept", "spans")]
+        lean()
         return pa.table({k: pa.array(found[k], kinds[k]) for k in names})
 
     return run

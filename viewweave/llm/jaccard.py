@@ -88,7 +88,7 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sigs), np.concatenate(own)
 
 
-def _sets(data: bytes, k: int, limit: int = 1 << 20):
+def _sets(data: bytes, k: int, limit: int = 1 << 19):
     """For each chunk of a block: first row, flat sets, sizes."""
     ids, null, offs, buf = open_block(data)
     for a, b in in_chunks(offs, limit):
