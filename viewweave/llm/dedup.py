@@ -29,6 +29,7 @@ from .common import BLOCK_SCHEMA, blocks_of, deltas, in_chunks, lean, materialis
 
 GRAM = 25
 LAST = np.int64(2**63 - 1)
+LONGEST = 64  # windows of a run
 HOT = 5000  # documents with a key, beyond which it is dealt by whole windows
 
 
@@ -158,7 +159,11 @@ def _runs(buf: np.ndarray, offs: np.ndarray, width: int, limit: int = 1 << 19):
         stop[:-1] = new | ~ok
         stops = np.flatnonzero(stop)
         end = stops[np.searchsorted(stops, start + 1)]
-        parts.append((np.searchsorted(offs, start + x, "right") - 1, start + x, end - start, low[start]))
+        pieces = -(-(end - start) // LONGEST)  # text of a short period has very long runs
+        which = np.repeat(np.arange(len(start)), pieces)
+        begin = start[which] + LONGEST * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        # keys are minima and so crowd near zero; mixed again they are even
+        parts.append((np.searchsorted(offs, begin + x, "right") - 1, begin + x, np.minimum(end[which] - begin, LONGEST), mix(low[begin] + np.uint64(1))))
     if not parts:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(p) for p in zip(*parts))
