@@ -255,12 +255,13 @@ BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, part int, data binary"
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Packs a stored table's texts into compressed blocks (block, part = -1, data).
 
     A block's number comes from its scan partition, so a lost block is computed again alike. docs must be a scan of a
-    stored table (else materialise() it first).
+    stored table (else materialise() it first). With carry, a block also holds the other columns, for carried().
     """
+    others = [c for c in docs.columns if c != text_col] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -270,16 +271,28 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
             buf, offs = flat_bytes(table["text"])
             ids = table["id"].combine_chunks()
             null = np.asarray(ids.is_null())
-            data = pack(np.asarray(ids.fill_null(0)).astype(np.int64), null, offs, buf)
+            rest = []
+            if others:
+                sink = pa.BufferOutputStream()
+                own = table.drop_columns(["id", "text"]).combine_chunks()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_table(own)
+                rest = [np.frombuffer(sink.getvalue(), np.uint8)]
+            data = pack(np.asarray(ids.fill_null(0)).astype(np.int64), null, offs, buf, *rest)
             yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
             lean()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others))).mapInArrow(run, BLOCK_SCHEMA)
+
+
+def carried(data: bytes) -> pa.Table:
+    """The other columns of a block, in their order."""
+    return pa.ipc.open_stream(pa.py_buffer(unpack(data)[4].tobytes())).read_all()
 
 
 def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, whether each is null, the offsets and the bytes of a block."""
-    ids, null, offs, buf = unpack(data)
+    ids, null, offs, buf = unpack(data)[:4]
     return ids, null, offs, buf
 
 

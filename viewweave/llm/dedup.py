@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_SCHEMA, blocks_of, deltas, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, prefix_hash, rows, scan_partitions, undelta, unpack
+from .common import BLOCK_SCHEMA, blocks_of, carried, deltas, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, prefix_hash, rows, scan_partitions, undelta, unpack
 
 GRAM = 25
 LAST = np.int64(2**63 - 1)
@@ -321,25 +321,29 @@ def _reply_runs(width: int):
     return run
 
 
+def _marked(data: bytes, replies: dict[int, bytes], answers: dict[int, bytes], width: int):
+    """ids, nulls, offsets and bytes of a block, and per byte whether it goes."""
+    ids, null, owner, offs, buf, doc, start, n, key = _shared_runs(data, replies, width)
+    if not len(doc):
+        return ids, null, offs, buf, np.zeros(len(buf), np.int8)
+    texts, _, _, rank = _distinct_runs(buf, owner, doc, start, n, key, width)
+    least = np.concatenate([unpack(answers[k])[0] for k in sorted(answers)])
+    windows = np.fromiter(map(len, texts), np.int64, len(texts)) - width + 1
+    head = np.cumsum(windows) - windows
+    spread = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    hit = (np.repeat(start, n) + spread)[least[np.repeat(head[rank], n) + spread] < np.repeat(owner[doc], n)]
+    step = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(step, hit, 1)
+    np.add.at(step, hit + width, -1)
+    return ids, null, offs, buf, (np.cumsum(step[:-1]) > 0).astype(np.int8)
+
+
 def _cut(width: int, with_text: bool):
     def run(table: pa.Table) -> pa.Table:
         _, data, replies, answers = _split(table)
         found: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
         if data:
-            ids, null, owner, offs, buf, doc, start, n, key = _shared_runs(data, replies, width)
-            gone = np.zeros(len(buf) + 1, np.int8)
-            if len(doc):
-                texts, _, _, rank = _distinct_runs(buf, owner, doc, start, n, key, width)
-                least = np.concatenate([unpack(answers[k])[0] for k in sorted(answers)])
-                windows = np.fromiter(map(len, texts), np.int64, len(texts)) - width + 1
-                head = np.cumsum(windows) - windows
-                spread = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(start, n) + spread
-                hit = at[least[np.repeat(head[rank], n) + spread] < np.repeat(owner[doc], n)]
-                step = np.zeros(len(buf) + 1, np.int32)
-                np.add.at(step, hit, 1)
-                np.add.at(step, hit + width, -1)
-                gone = (np.cumsum(step) > 0).astype(np.int8)
+            ids, null, offs, buf, gone = _marked(data, replies, answers, width)
             for k, (a, b) in enumerate(zip(offs.tolist(), offs[1:].tolist())):
                 mark = gone[a:b]
                 removed = int(mark.sum())
@@ -356,14 +360,58 @@ def _cut(width: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, with_text: bool = True) -> DataFrame:
-    """Per row of a stored table: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also the kept bytes and the removed spans."""
+def _cut_rows(width: int, names: list[str], text_col: str, size_col: str, schema: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        _, data, replies, answers = _split(table)
+        if not data:
+            return schema.empty_table()
+        _, null, offs, buf, gone = _marked(data, replies, answers, width)
+        others = carried(data)
+        texts, stay = [], np.ones(len(null), bool)
+        for k, (a, b) in enumerate(zip(offs.tolist(), offs[1:].tolist())):
+            if gone[a:b].any():
+                kept = buf[a:b][gone[a:b] == 0].tobytes().decode("utf-8", "ignore")  # a cut may leave part of a character
+                stay[k] = bool(kept.strip())
+                texts.append(kept)
+            else:
+                texts.append(buf[a:b].tobytes().decode("utf-8", "replace"))
+        columns, k = [], 0
+        for name in names:
+            if name == text_col:
+                columns.append(pa.array(texts, schema.field(name).type))
+            else:
+                own = others.column(k)
+                k += 1
+                columns.append(pa.array([len(t) for t in texts], schema.field(name).type) if name == size_col else own.cast(schema.field(name).type))
+        lean()
+        return pa.Table.from_arrays(columns, schema=schema).filter(pa.array(stay))
+
+    return run
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, width: int, carry: bool = False) -> DataFrame:
+    """Blocks met with all replies, a group a block."""
     if width < 2 * GRAM:
         raise ValueError(f"width must be at least {2 * GRAM}")
     blocks = blocks_of(docs, id_col, text_col)
     bits = power_of_two(max(16, 2 * scan_partitions(docs))).bit_length() - 1
     shared = materialise(blocks.mapInArrow(_ask_keys(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_keys, BLOCK_SCHEMA))
-    met = blocks.unionByName(shared)
-    least = materialise(met.groupBy("block").applyInArrow(_ask_runs(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_runs(width), BLOCK_SCHEMA))
+    least = materialise(blocks.unionByName(shared).groupBy("block").applyInArrow(_ask_runs(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_runs(width), BLOCK_SCHEMA))
+    return blocks_of(docs, id_col, text_col, carry=carry).unionByName(shared).unionByName(least)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, with_text: bool = True) -> DataFrame:
+    """Per row of a stored table: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also the kept bytes and the removed spans."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start:long,stop:long>>" if with_text else "")
-    return met.unionByName(least).groupBy("block").applyInArrow(_cut(width, with_text), schema)
+    return _repeats(docs, id_col, text_col, width).groupBy("block").applyInArrow(_cut(width, with_text), schema)
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", width: int = 50) -> DataFrame:
+    """The rows of a stored table with the repeated bytes cut from their text and size_col, if there, counted anew.
+
+    A row of which only white space is left goes; null texts become empty ones.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    run = _cut_rows(width, docs.columns, text_col, size_col, to_arrow_schema(docs.schema))
+    return _repeats(docs, id_col, text_col, width, carry=True).groupBy("block").applyInArrow(run, docs.schema)

@@ -22,6 +22,12 @@ def op1_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -86,6 +92,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_leaf._domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_stable_projection_ann, op3_best_fit_packing, op4_quality_classifier, op5_deleted_interpolation, op6_partenum_join, op7_jpeg_media, op8_chat_formatting, op9_mixing, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_stable_projection_ann, op2_warc_index, op3_best_fit_packing, op4_quality_classifier, op5_deleted_interpolation, op6_partenum_join, op7_jpeg_media, op8_chat_formatting, op9_mixing, op10_suffix_array_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
