@@ -47,15 +47,13 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 32, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins left, whose keys may be skewed, to a right side with one row a key.
 
-    A counted small right side is broadcast; a larger one is replicated over salts so that no hot key meets in one task.
+    A counted small right side is broadcast. A larger one is a sort-merge join whose skewed partitions adaptive execution
+    splits on the left; nothing above it in these operators asks for its partitioning, so that rule applies.
     """
-    if small_enough(right, limit):
-        return left.join(F.broadcast(right), keys, how)
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return left.join(F.broadcast(right) if small_enough(right, limit) else right, keys, how)
 
 
 def scan_partitions(df: DataFrame) -> int:

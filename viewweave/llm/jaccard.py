@@ -7,13 +7,13 @@ of cells is equal: each pair of cells is a signature. n1 is chosen so that more
 agree; signatures of fewer than two features, which unlike sets share by chance, are then given only by sets in which
 more parts than the spare ones are that thin. No similar pair is lost by it: it shares a full signature unless both are.
 
-Classes: exact copies count once (per block, then by a fingerprint of the set). Members of a signature are verified against
-leaders, 1, 2, 4 ... of each signature in turn, and only signatures whose members are still in several classes go on,
-until every such pair was verified. A class of thousands of near copies so costs about one verification a member.
+Classes: exact copies count once (per block, then by a fingerprint of the set). Sets that share a signature, directly or over
+others, are a group of candidates; each set is in one group. A group's sets are compared in tiles of bounded size, each pair in
+one tile, by one pass over the tile's shingles a set; a tile gives only links that join classes. Every candidate pair is verified
+by its exact similarity, and thousands of near copies never become pairs of rows.
 
 Scale: signatures are sorted 64-bit keys in packed rows, dealt by their top bits; only members of shared signatures become
-rows. Texts to verify are those of such members, and a leader's members are dealt over groups of bounded size. Nothing is
-broadcast without a count.
+rows. Texts to verify are those of such members only, each sent once a block of its group. Nothing is broadcast without a count.
 
 Cases: null texts and texts without words have empty sets and link with nothing; fewer than k words are one shingle; rows
 with the same id are documents of their own, linked if alike; null ids take part and a class of none but null ids has a
@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, BROADCAST_ROWS, blocks_of, chunked_words, deltas, flat_bytes, in_chunks, materialise, mix, open_block, pack, power_of_two, rows, scan_partitions, shingles, sized_join, small_enough, small_ints, undelta, unpack
+from .common import BLOCK_SCHEMA, blocks_of, chunked_words, deltas, flat_bytes, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, rows, scan_partitions, shingles, sized_join, small_enough, small_ints, undelta, unpack
 
 UID_BITS = 20  # documents of a block
+TILE_SETS = 800  # sets of one side of a tile
+TILE_SHINGLES = 400_000  # their shingles
 THIN = 2  # features below which a signature is thin
 
 
@@ -190,40 +192,63 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     return found if small else found.join(wanted, "uid", "left_semi")
 
 
-def _verify(k: int, num: int, den: int):
+def _links_in(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that span the classes among sets; where both sides occur only pairs across sides count."""
+    size = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(code.max()) + 1, bool)
+    label, links = np.arange(len(sets)), []
+    both = len(np.unique(side)) > 1
+    order = np.flatnonzero(side == 0) if both else np.arange(len(sets))
+    for i in order.tolist():
+        other = side == 1 if both else np.arange(len(sets)) > i
+        if not (other & (label != label[i])).any():
+            continue
+        own = code[cuts[i] : cuts[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[code], cuts[:-1], dtype=np.int64)
+        mark[own] = False
+        for j in np.flatnonzero(other & (den * common >= num * (size + size[i] - common))).tolist():
+            if label[i] != label[j]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _tile(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        uid = np.asarray(table["uid"])
-        leader = table["leader"].to_pylist()
-        some, first = np.unique(uid, return_index=True)
-        buf, offs = flat_bytes(table["text"].take(pa.array(first)).cast(pa.string()))
+        left, right = [], []
+        buf, offs = flat_bytes(table["text"].cast(pa.string()))
+        uid, side = np.asarray(table["uid"]), np.asarray(table["side"])
         h, c = chunked_words(buf, offs)
-        sets, sizes = shingles(h, c, k)
+        flat, sizes = shingles(h, c, k)
         ends = np.cumsum(sizes)
-        place = {u: (e - s, e) for u, s, e in zip(some.tolist(), sizes.tolist(), ends.tolist())}
-        left, right = [], []
-        for u, b in zip(uid.tolist(), leader):
-            if b is not None:
-                (p, q), (x, y) = place[u], place[b]
-                both = len(np.intersect1d(sets[p:q], sets[x:y], assume_unique=True))
-                if den * both >= num * (q - p + y - x - both):
-                    left.append(u)
-                    right.append(b)
+        group = np.unique(np.stack([np.asarray(table[x]) for x in ("sg", "i", "j")]), axis=1, return_inverse=True)[1].reshape(-1)
+        order = np.argsort(group, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            for a, b in _links_in([flat[ends[x] - sizes[x] : ends[x]] for x in own.tolist()], side[own], num, den):
+                left.append(uid[own[a]])
+                right.append(uid[own[b]])
+        lean()
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. A leader b meets its members in groups of bounded size."""
-    n = pairs.count()
-    if not n:
-        return pairs
-    groups = max(12, power_of_two(-(-n // 512)))
-    per = pairs.groupBy("b").agg(F.count("*").alias("m"))
-    dealt = sized_join(pairs, per, ["b"]).withColumn("g", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(1) + F.floor(F.col("m") / 256))), F.lit(groups))).select("a", "b", "g")
-    members = dealt.join(texts, dealt.a == texts.uid).select("g", F.col("b").alias("leader"), "uid", "text")
-    leaders = dealt.select("g", "b").distinct().join(texts, F.col("b") == texts.uid).select("g", F.lit(None).cast("long").alias("leader"), "uid", "text")
-    return members.unionByName(leaders).groupBy("g").applyInArrow(_verify(k, num, den), "a long, b long")
+def verified(candidates: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the classes within each group of candidates (sg, uid, n), as similar as num/den or more.
+
+    Groups of up to TILE_SETS sets are compared whole; larger ones in tiles of two of their blocks, every pair in one tile. A
+    tile compares each set with all others by one pass over their shingles and gives fewer links than it has sets.
+    """
+    per = candidates.groupBy("sg").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    per = per.where("m > 1").select("sg", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int").alias("nb"))
+    dealt = sized_join(candidates, materialise(per), ["sg"], "inner").withColumn("b", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    small = F.pmod(F.xxhash64("sg"), F.lit(max(12, power_of_two(1 + candidates.count() // 400))))
+    dealt = dealt.select("sg", "uid", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nb").withColumn("g", F.when(F.col("nb") == 1, small).otherwise(F.xxhash64("sg", "i", "j")))
+    return dealt.join(texts, "uid").select("g", "sg", "i", "j", "side", "uid", "text").groupBy("g").applyInArrow(_tile(k, num, den), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,39 +270,22 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = power_of_two(max(16, 2 * scan_partitions(docs))).bit_length() - 1
     blocks = blocks_of(docs, id_col, text_col)
     facts = materialise(blocks.mapInArrow(_describe(shingle), "uid long, doc_id long, n long, fp long, fq long"))
-    copies = facts.where("n > 0").groupBy("fp", "fq", "n").agg(F.min("uid").alias("rep"))
-    rep_of = materialise(sized_join(facts.where("n > 0"), copies, ["fp", "fq", "n"], "inner").select("uid", "rep", "n"))
+    twice = facts.where("n > 0").groupBy("fp", "fq", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rep_of = materialise(sized_join(facts.where("n > 0"), materialise(twice), ["fp", "fq", "n"]).select("uid", F.coalesce("rep", "uid").alias("rep"), "n"))
     met = materialise(blocks.mapInArrow(_sign(shingle, num, den, bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct())
-    members = met.join(rep_of, "uid").select("gid", F.col("rep").alias("uid"), "n").distinct()
-    size = Window.partitionBy("gid")
-    members = materialise(members.withColumn("rank", F.row_number().over(size.orderBy("uid"))).withColumn("m", F.count("*").over(size)).where("m > 1"))
-    texts = materialise(_texts_of(docs, id_col, text_col, members.select("uid").distinct()))
-    links, tried, comp, low = None, None, None, 1
-    while True:
-        if comp is None:
-            now = members.withColumn("comp", F.col("uid"))
-        else:
-            now = members.join(comp, members.uid == comp.node, "left").withColumn("comp", F.coalesce("comp", "uid")).drop("node")
-            split = now.groupBy("gid").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.max("rank").alias("r")).where(f"p <> q and r > {low}").select("gid")
-            now = materialise(now.join(split, "gid", "left_semi"))
-        lead = now.where(f"rank >= {low} and rank < {2 * low}").select("gid", F.col("uid").alias("b"), F.col("rank").alias("brank"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
-        pairs = now.join(lead, "gid").where(f"rank > brank and comp <> bcomp and {den} * least(n, bn) >= {num} * greatest(n, bn)").select(F.col("uid").alias("a"), "b").distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            tried = pairs if tried is None else tried.union(pairs)
-            new = materialise(verified(pairs, texts, shingle, num, den))
-            links = new if links is None else links.union(new)
-            comp = components(links)
-        elif comp is not None and not now.limit(1).count() or low > (now.agg(F.max("m")).first()[0] or 0):
-            break
-        if comp is None:
-            comp = components(pairs)
-        low *= 2
+    members = materialise(met.join(rep_of, "uid").select("gid", F.col("rep").alias("uid"), "n").distinct())
+    first = members.groupBy("gid").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("gid", "low")
+    stars = members.join(first, "gid").select(F.col("uid").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    groups = components(stars)
+    candidates = materialise(groups.join(rep_of, groups.node == rep_of.uid).select(F.col("comp").alias("sg"), "uid", "n"))
+    texts = materialise(_texts_of(docs, id_col, text_col, candidates.select("uid")))
+    comp = components(verified(candidates, texts, shingle, num, den))
     named = rep_of.join(comp, rep_of.rep == comp.node, "left").select("uid", F.coalesce("comp", "rep").alias("comp"))
-    every = facts.join(named, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    every = materialise(every.select("uid", "doc_id", "n", "comp"))
-    least = every.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("s")).select("comp", F.col("s.doc_id").alias("component_id"), F.col("s.uid").alias("first_uid"))
-    return sized_join(every, least, ["comp"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("first_uid")).alias("first"))
+    every = materialise(facts.join(named, "uid", "left").select("uid", "doc_id", "n", F.coalesce("comp", "uid").alias("comp")))
+    least = every.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("s"), F.count("*").alias("m")).where("m > 1")
+    least = materialise(least.select("comp", F.col("s.doc_id").alias("least_id"), F.col("s.uid").alias("least_uid")))
+    many = F.col("least_uid").isNotNull()
+    return sized_join(every, least, ["comp"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(many, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce(F.col("uid") == F.col("least_uid"), F.lit(True)).alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
