@@ -1 +1 @@
-
+"""Cross-camera video analytics as DataFrame operators."""
