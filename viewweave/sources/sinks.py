@@ -12,11 +12,11 @@ def proposal_payload(props: DataFrame, cameras: list[str] | None = None) -> Data
     """One row: the proposal artifact as JSON text; declared cameras without rows are there, empty. One artifact is one document."""
     record = F.struct("proposal_id", "camera_id", "frame_id", F.array("bbox.x", "bbox.y", "bbox.w", "bbox.h").alias("bbox"), "score", "source_frame")
     frames = props.groupBy("camera_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("proposal_id", record.alias("r")))).alias("rs"))
-    cams = frames.groupBy("camera_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("frame_id").cast("string"), F.transform("rs", lambda x: x.r))))).alias("f"))
+    cams = frames.groupBy("camera_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("frame_id").cast("string"), F.transform("rs", lambda x: x.r)))).alias("f"))
     if cameras:
         declared = props.sparkSession.createDataFrame([(c,) for c in cameras], "camera_id string")
-        cams = cams.join(declared, "camera_id", "full").withColumn("f", F.coalesce("f", F.map_filter("f", lambda k, v: F.lit(False)), F.create_map().cast(cams.schema["f"].dataType)))
-    whole = cams.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("camera_id", "f")))).alias("cameras"))
+        cams = cams.join(declared, "camera_id", "full").withColumn("f", F.coalesce("f", F.create_map().cast(cams.schema["f"].dataType)))
+    whole = cams.agg(F.map_from_entries(F.collect_list(F.struct("camera_id", "f"))).alias("cameras"))
     return whole.select(F.to_json(F.struct(F.lit(1).alias("version"), "cameras")).alias("value"))
 
 
