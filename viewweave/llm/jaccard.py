@@ -3,12 +3,14 @@
 Sets of word shingles are dealt to size bands such that similar sets lie in one band or in neighbours. Within a band's
 instance a similarity of num/den bounds the symmetric difference by k. The hash domain is cut in n1 parts of three cells;
 two sets that differ in at most k features have parts that differ in at most one feature, so one of the part's three pairs
-of cells is equal: each pair of cells is a signature. n1 is chosen so that more parts than a number of spare ones
-agree; signatures of fewer than two features, which unlike sets share by chance, are then given only by sets in which
-more parts than the spare ones are that thin. No similar pair is lost by it: it shares a full signature unless both are.
+of cells is equal: each pair of cells is a signature. n1 is chosen so that more parts than a number of spare ones agree. A set
+gives signatures of at least t features, where t is the largest threshold that no more than the spare parts fall below: unlike sets
+share thin signatures by chance. No similar pair is lost: the set with the larger threshold has an agreeing part that
+reaches it, and the other set gives that signature too.
 
 Classes: exact copies count once (per block, then by a fingerprint of the set). Sets that share a signature, directly or over
-others, are a group of candidates; each set is in one group. A group's sets are compared in tiles of bounded size, each pair in
+others, are a group of candidates; each set is in one group. Counts of a set's shingles by hash cell bound the symmetric difference
+from below; groups fall apart in those within which that bound allows links (a lossless filter). A group's sets are compared in tiles of bounded size, each pair in
 one tile, by one pass over the tile's shingles a set; a tile gives only links that join classes. Every candidate pair is verified
 by its exact similarity, and thousands of near copies never become pairs of rows.
 
@@ -32,7 +34,8 @@ from .common import BLOCK_SCHEMA, blocks_of, chunked_words, deltas, flat_bytes,
 UID_BITS = 20  # documents of a block
 TILE_SETS = 800  # sets of one side of a tile
 TILE_SHINGLES = 400_000  # their shingles
-THIN = 2  # features below which a signature is thin
+THIN = 3  # the largest threshold of features in a signature
+SKETCH_SETS = 1500  # sets of one side of a tile of sketches
 
 
 # ---------------------------------------------------------------- signatures
@@ -80,10 +83,14 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
         place = (np.arange(len(doc)) - base[doc] + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + tag[doc].astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         pairs = ((0, 1), (0, 2), (1, 2))
         count = np.stack([n[:, a] + n[:, b] for a, b in pairs], 1) if len(n) else np.zeros((0, 3), np.int64)
-        thin_parts = np.bincount(doc, (count < THIN).any(1), len(sizes)) if len(doc) else np.zeros(len(sizes))
-        give_all = thin_parts > spare[tag]
+        # a set's threshold is the largest that no more parts than the spare ones fall below
+        least = np.minimum(count.min(1), THIN) if len(count) else np.zeros(0, np.int64)
+        at_least = np.zeros(len(sizes), np.int64)
+        for t in range(1, THIN + 1):
+            thin = np.bincount(doc, least < t, len(sizes)) if len(doc) else np.zeros(len(sizes))
+            at_least[thin <= spare[tag]] = t
         for j, (a, b) in enumerate(pairs):
-            keep = (count[:, j] >= THIN) | give_all[doc]
+            keep = count[:, j] >= at_least[doc]
             s = mix(mix(total[keep, a] + place[keep]) * np.uint64(0x9FB21C651E98DF25) + mix(total[keep, b] + np.uint64(j + 1)))
             sigs.append(s)
             own.append(doc[keep])
@@ -109,6 +116,64 @@ def _prints(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def sketches(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set the counts of its shingles in 2^j hash cells, about one cell for four shingles, at least 64; a byte each, capped."""
+    level = _level(sizes)
+    width = np.int64(1) << level
+    base = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = base[owner] + (mix(sets ^ np.uint64(0xC2B2AE3D27D4EB4F)) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.minimum(np.bincount(cell, minlength=int(width.sum())), 255).astype(np.uint8)
+    return [flat[a : a + w].tobytes() for a, w in zip(base.tolist(), width.tolist())]
+
+
+def _level(sizes: np.ndarray) -> np.ndarray:
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 4)).astype(np.int64), 6, 14)
+
+
+def _near_in(sizes: np.ndarray, packed: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that span the groups of sets whose sketches allow a similarity of num/den."""
+    order = np.argsort(sizes, kind="stable")
+    size, level = sizes[order], _level(sizes[order])
+    label, out = np.arange(len(size)), []
+    for lv in np.unique(level).tolist():
+        first, end = np.searchsorted(level, lv), np.searchsorted(level, lv + 1, "right")
+        rows = np.zeros((end - first, 1 << lv), np.int16)
+        for r in range(first, end):
+            whole = np.frombuffer(packed[order[r]], np.uint8)
+            rows[r - first] = whole.reshape(-1, 1 << lv).sum(0)
+        for i in range(first, np.searchsorted(level, lv, "right")):
+            to = min(end, int(np.searchsorted(size, size[i] * den // num, "right")))
+            if to <= i + 1 or not (label[i + 1 : to] != label[i]).any():
+                continue
+            gap = np.abs(rows[i + 1 - first : to - first] - rows[i - first]).sum(1, dtype=np.int64)
+            for j in (np.flatnonzero((den + num) * gap <= (den - num) * (size[i + 1 : to] + size[i])) + i + 1).tolist():
+                if label[i] != label[j]:
+                    out.append((int(order[i]), int(order[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _sift(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        uid, n, sketch = np.asarray(table["uid"]), np.asarray(table["n"]), table["sketch"].to_pylist()
+        left, right = [], []
+        for own in _groups(table):
+            for a, b in _near_in(n[own], [sketch[x] for x in own.tolist()], num, den):
+                left.append(uid[own[a]])
+                right.append(uid[own[b]])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def _groups(table: pa.Table) -> list[np.ndarray]:
+    """The rows of each (sg, i, j)."""
+    group = np.unique(np.stack([np.asarray(table[x]) for x in ("sg", "i", "j")]), axis=1, return_inverse=True)[1].reshape(-1)
+    order = np.argsort(group, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+
+
 def _describe(k: int):
     def run(batches):
         for batch in batches:
@@ -116,7 +181,7 @@ def _describe(k: int):
                 for a, ids, null, sets, sizes in _sets(data, k):
                     uid = (np.int64(block) << UID_BITS) + a + np.arange(len(ids))
                     x, y = _prints(sets, sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=null), pa.array(sizes), pa.array(x), pa.array(y)], names=["uid", "doc_id", "n", "fp", "fq"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=null), pa.array(sizes), pa.array(x), pa.array(y), pa.array(sketches(sets, sizes), pa.binary())], names=["uid", "doc_id", "n", "fp", "fq", "sketch"])
 
     return run
 
@@ -224,9 +289,7 @@ def _tile(k: int, num: int, den: int):
         h, c = chunked_words(buf, offs)
         flat, sizes = shingles(h, c, k)
         ends = np.cumsum(sizes)
-        group = np.unique(np.stack([np.asarray(table[x]) for x in ("sg", "i", "j")]), axis=1, return_inverse=True)[1].reshape(-1)
-        order = np.argsort(group, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        for own in _groups(table):
             for a, b in _links_in([flat[ends[x] - sizes[x] : ends[x]] for x in own.tolist()], side[own], num, den):
                 left.append(uid[own[a]])
                 right.append(uid[own[b]])
@@ -236,18 +299,33 @@ def _tile(k: int, num: int, den: int):
     return run
 
 
-def verified(candidates: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the classes within each group of candidates (sg, uid, n), as similar as num/den or more.
+def _dealt(candidates: DataFrame, sets: int, weight: int) -> DataFrame:
+    """Candidates (sg, uid, n) in tiles (g: task key, sg, i, j, side, uid): every pair of a group meets in one tile.
 
-    Groups of up to TILE_SETS sets are compared whole; larger ones in tiles of two of their blocks, every pair in one tile. A
-    tile compares each set with all others by one pass over their shingles and gives fewer links than it has sets.
+    Groups of up to `sets` sets and `weight` shingles are one tile; larger ones are cut in blocks, and each two blocks are a tile.
     """
     per = candidates.groupBy("sg").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    per = per.where("m > 1").select("sg", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int").alias("nb"))
+    per = per.where("m > 1").select("sg", F.greatest(F.ceil(F.col("m") / sets), F.ceil(F.col("s") / weight)).cast("int").alias("nb"))
     dealt = sized_join(candidates, materialise(per), ["sg"], "inner").withColumn("b", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     small = F.pmod(F.xxhash64("sg"), F.lit(max(12, power_of_two(1 + candidates.count() // 400))))
-    dealt = dealt.select("sg", "uid", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nb").withColumn("g", F.when(F.col("nb") == 1, small).otherwise(F.xxhash64("sg", "i", "j")))
+    return dealt.select("sg", "uid", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nb").withColumn("g", F.when(F.col("nb") == 1, small).otherwise(F.xxhash64("sg", "i", "j"))).drop("nb")
+
+
+def sifted(candidates: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(sg, uid, n): the candidates regrouped by what their sketches allow; sets that may link with none are gone."""
+    met = _dealt(candidates, SKETCH_SETS, 100 * TILE_SHINGLES).join(facts.select("uid", "n", "sketch"), "uid")
+    near = materialise(met.select("g", "sg", "i", "j", "uid", "n", "sketch").groupBy("g").applyInArrow(_sift(num, den), "a long, b long"))
+    groups = components(near)
+    return materialise(groups.join(candidates.select("uid", "n"), groups.node == F.col("uid")).select(F.col("comp").alias("sg"), "uid", "n"))
+
+
+def verified(candidates: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the classes within each group of candidates (sg, uid, n), as similar as num/den or more.
+
+    A tile compares each set with all others by one pass over their shingles and gives fewer links than it has sets.
+    """
+    dealt = _dealt(candidates, TILE_SETS, TILE_SHINGLES)
     return dealt.join(texts, "uid").select("g", "sg", "i", "j", "side", "uid", "text").groupBy("g").applyInArrow(_tile(k, num, den), "a long, b long")
 
 
@@ -269,7 +347,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of a stored table: uid, doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity num/den or more), first (whether it is that document; one row a class)."""
     bits = power_of_two(max(16, 2 * scan_partitions(docs))).bit_length() - 1
     blocks = blocks_of(docs, id_col, text_col)
-    facts = materialise(blocks.mapInArrow(_describe(shingle), "uid long, doc_id long, n long, fp long, fq long"))
+    facts = materialise(blocks.mapInArrow(_describe(shingle), "uid long, doc_id long, n long, fp long, fq long, sketch binary"))
     twice = facts.where("n > 0").groupBy("fp", "fq", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
     rep_of = materialise(sized_join(facts.where("n > 0"), materialise(twice), ["fp", "fq", "n"]).select("uid", F.coalesce("rep", "uid").alias("rep"), "n"))
     met = materialise(blocks.mapInArrow(_sign(shingle, num, den, bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct())
@@ -278,6 +356,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = members.join(first, "gid").select(F.col("uid").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     groups = components(stars)
     candidates = materialise(groups.join(rep_of, groups.node == rep_of.uid).select(F.col("comp").alias("sg"), "uid", "n"))
+    candidates = sifted(candidates, facts, num, den)
     texts = materialise(_texts_of(docs, id_col, text_col, candidates.select("uid")))
     comp = components(verified(candidates, texts, shingle, num, den))
     named = rep_of.join(comp, rep_of.rep == comp.node, "left").select("uid", F.coalesce("comp", "rep").alias("comp"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, flat_bytes, materialise, mix, prefix_hash
+from .common import flat_bytes, in_chunks, lean, materialise, mix, powers
 
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -54,20 +54,21 @@ class WordTokens:
     any other text goes to the tokenizer whole, so results are those of the tokenizer itself.
     """
 
-    LIMIT = 600_000  # distinct pre-tokens kept; beyond it the memory starts anew
+    LIMIT = 400_000  # distinct pre-tokens kept; beyond it the memory starts anew
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kinds = np.full(0x250, 9, np.uint8)
+        kinds = np.full(0x251, 9, np.uint8)  # the last entry stands for all other characters
         for c in [*range(9, 14), *range(0x20, 0x7F), *range(0xA1, 0x250)]:
             ch, cat = chr(c), unicodedata.category(chr(c))
             if len(ch.lower()) == 1 and ord(ch.lower()) < 0x250 and unicodedata.normalize("NFC", ch) == ch:
                 kinds[c] = 0 if c < 0x21 else 1 if cat[0] == "L" else 2 if cat[0] == "N" else 9 if cat == "Cf" else 3
         self.kinds = kinds
-        self.lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x250)], np.uint32)
+        lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x251)], np.uint64)
+        self.value = mix(lower + np.uint64(1))
         self.clear()
 
     def clear(self) -> None:
@@ -100,18 +101,20 @@ class WordTokens:
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
-        kind = np.where(codes < 0x250, self.kinds[np.minimum(codes, 0x24F)], 9)
+        codes = np.minimum(codes, 0x250).astype(np.intp)
+        kind = self.kinds[codes]
         odd = np.flatnonzero((kind == 9) | (codes == 0x27))
         odd = np.unique(np.searchsorted(begin, odd, "right") - 1)
         for d in odd:
             kind[begin[d] : begin[d] + lens[d]] = 0
-        low = self.lower[np.minimum(codes, 0x24F)]
         first = kind != 0
         first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         last = kind != 0
         last[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums, down = prefix_hash(low)
+        up, down = powers(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(self.value[codes] * up[:-1], out=sums[1:])
         keys = mix((sums[b] - sums[a]) * down[a])
         some, at, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(some) > self.LIMIT:
@@ -152,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         coder, task, seen = coder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offs = flat_bytes(batch["text"])
-            for x, y in in_chunks(offs, 3 << 20):
+            for x, y in in_chunks(offs, 3 << 19):
                 texts = [t or "" for t in batch["text"].slice(x, y - x).to_pylist()]
                 ids, count = coder.encode(texts)
                 total = count + 1
@@ -182,6 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     cols.append(pa.array([whole[h : h + n].astype(np.int32) for h, n in zip(head.tolist(), length.tolist())], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            lean()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
