@@ -162,6 +162,7 @@ def _sift(num: int, den: int):
             for a, b in _near_in(n[own], [sketch[x] for x in own.tolist()], num, den):
                 left.append(uid[own[a]])
                 right.append(uid[own[b]])
+        lean()
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
@@ -182,6 +183,7 @@ def _describe(k: int):
                     uid = (np.int64(block) << UID_BITS) + a + np.arange(len(ids))
                     x, y = _prints(sets, sizes)
                     yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=null), pa.array(sizes), pa.array(x), pa.array(y), pa.array(sketches(sets, sizes), pa.binary())], names=["uid", "doc_id", "n", "fp", "fq", "sketch"])
+                lean()
 
     return run
 
@@ -197,9 +199,12 @@ def _sign(k: int, num: int, den: int, bits: int):
                     s, o = signatures(sets[np.repeat(new, sizes)], sizes[new], num, den)
                     keys.append(s)
                     owners.append(np.flatnonzero(new)[o] + a)
-                s, o = np.concatenate(keys), np.concatenate(owners)
+                s, o = np.concatenate(keys), np.concatenate(owners).astype(np.int32)
+                keys.clear()
+                owners.clear()
                 order = np.argsort(s)
                 s, o = s[order], o[order]
+                del order
                 cut = np.searchsorted(s, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
                 found, at = [], 0
                 for bucket, to in enumerate([*cut, len(s)]):
@@ -231,6 +236,7 @@ def _meet(table: pa.Table) -> pa.Table:
     _, first = np.unique(group[many], return_index=True)
     many = many[first]
     at = np.repeat(start[many] - np.cumsum(size[many]) + size[many], size[many]) + np.arange(int(size[many].sum()))
+    lean()
     return pa.table({"gid": pa.array(np.repeat(group[many], size[many]).view(np.int64)), "uid": pa.array(uid[at])})
 
 
@@ -345,7 +351,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Per row of a stored table: uid, doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity num/den or more), first (whether it is that document; one row a class)."""
-    bits = power_of_two(max(16, 2 * scan_partitions(docs))).bit_length() - 1
+    bits = power_of_two(max(16, 8 * scan_partitions(docs))).bit_length() - 1  # so many, as a set has hundreds of signatures
     blocks = blocks_of(docs, id_col, text_col)
     facts = materialise(blocks.mapInArrow(_describe(shingle), "uid long, doc_id long, n long, fp long, fq long, sketch binary"))
     twice = facts.where("n > 0").groupBy("fp", "fq", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
