@@ -56,6 +56,14 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.join(F.broadcast(right) if small_enough(right, limit) else right, keys, how)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after seeing to it that whole texts go to Python by no more than so many at a time (the default is 10,000)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name, "10000") or 0) not in range(1, rows + 1):
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def scan_partitions(df: DataFrame) -> int:
     """The partitions that a scan of df has, from the plan alone."""
     return max(1, df.rdd.getNumPartitions())
@@ -280,7 +288,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
             yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
             lean()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others))).mapInArrow(run, BLOCK_SCHEMA)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others))).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def carried(data: bytes) -> pa.Table:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, blocks_of, chunked_words, deltas, flat_bytes, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, rows, scan_partitions, shingles, sized_join, small_enough, small_ints, undelta, unpack
+from .common import BLOCK_SCHEMA, blocks_of, chunked_words, deltas, flat_bytes, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, rows, scan_partitions, shingles, sized_join, small_batches, small_enough, small_ints, undelta, unpack
 
 UID_BITS = 20  # documents of a block
 TILE_SETS = 800  # sets of one side of a tile
@@ -321,8 +321,7 @@ def _dealt(candidates: DataFrame, sets: int, weight: int) -> DataFrame:
 def sifted(candidates: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """(sg, uid, n): the candidates regrouped by what their sketches allow; sets that may link with none are gone."""
     met = _dealt(candidates, SKETCH_SETS, 100 * TILE_SHINGLES).join(facts.select("uid", "n", "sketch"), "uid")
-    near = materialise(met.select("g", "sg", "i", "j", "uid", "n", "sketch").groupBy("g").applyInArrow(_sift(num, den), "a long, b long"))
-    groups = components(near)
+    groups = components(met.select("g", "sg", "i", "j", "uid", "n", "sketch").groupBy("g").applyInArrow(_sift(num, den), "a long, b long"))
     return materialise(groups.join(candidates.select("uid", "n"), groups.node == F.col("uid")).select(F.col("comp").alias("sg"), "uid", "n"))
 
 
@@ -337,6 +336,7 @@ def verified(candidates: DataFrame, texts: DataFrame, k: int, num: int, den: int
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each class of linked nodes, by repeated minima and shortcuts."""
+    links = materialise(links)  # which links span a class may differ each time they are computed
     edges = materialise(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct())
     label = materialise(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
@@ -408,5 +408,6 @@ def _filtered(docs: DataFrame, id_col: str, text_col: str, known, with_uid: bool
 
     from pyspark.sql.types import LongType, StructField, StructType
 
+    small_batches(docs)
     schema = docs.schema if not with_uid else StructType([StructField("uid", LongType()), *docs.schema.fields])
     return docs.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, in_chunks, lean
+from .common import flat_bytes, in_chunks, lean, small_batches
 
 UNIT, ROW, TALLEST = 576, 24, 341 * 24  # bytes of a payload unit; blocks of a row; rows of an image
 DC_LENGTHS = {7: 2, 2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 0: 4, 1: 5, 8: 6}  # category: bits of its code
@@ -312,7 +312,7 @@ def media_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array(n), pa.array(encode_payload(samples, sizes), pa.binary())], names=["doc_id", "n_bytes", "media"])
             lean()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def describe_media(table: DataFrame, payload: bool = False) -> DataFrame:

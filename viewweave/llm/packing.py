@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, in_chunks, lean, materialise, mix, powers
+from .common import flat_bytes, in_chunks, lean, materialise, mix, powers, small_batches
 
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -187,7 +187,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             lean()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- the plan

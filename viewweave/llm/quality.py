@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunked_words, flat_bytes, in_chunks, lean, materialise, sized_join
+from .common import chunked_words, flat_bytes, in_chunks, lean, materialise, sized_join, small_batches
 
 #: Labelled documents that the heads are fitted on, those of the smallest hashes of their ids: the bound of the sample.
 MAX_TRAIN = 12_000
@@ -166,7 +166,7 @@ def with_evidence(docs: DataFrame, heads: list[Head], text_col: str = "text", na
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good)], names=[*names, name])
         lean()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
