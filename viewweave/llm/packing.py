@@ -146,8 +146,11 @@ def coder_of(path: str) -> WordTokens:
     return held[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, (task, nth): its rank among this task's pieces of that length; ids if asked for."""
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False, retain: bool = True) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, (task, nth): its rank among this task's pieces of that length; ids if asked for.
+
+    retain: whether a Python worker keeps the pre-tokens that it knows (at most WordTokens.LIMIT) for its later tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -186,6 +189,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             lean()
+        if not retain:
+            coder.clear()
+            sys.modules["pyspark"].__dict__["_weave_coders"].pop(tokenizer, None)
+            lean()
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
@@ -296,6 +303,6 @@ def pack_pieces(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, retain: bool = True) -> DataFrame:
     """Tokenizes, cuts and packs whole documents: doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset."""
-    return pack_pieces(materialise(token_pieces(docs, tokenizer, id_col, text_col, cap.tokens, with_ids)), cap)
+    return pack_pieces(materialise(token_pieces(docs, tokenizer, id_col, text_col, cap.tokens, with_ids, retain)), cap)
