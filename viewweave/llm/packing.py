@@ -56,9 +56,10 @@ class WordTokens:
 
     LIMIT = 400_000  # distinct pre-tokens kept; beyond it the memory starts anew
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         from tokenizers import Tokenizer
 
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         kinds = np.full(0x251, 9, np.uint8)  # the last entry stands for all other characters
@@ -117,7 +118,7 @@ class WordTokens:
         np.cumsum(self.value[codes] * up[:-1], out=sums[1:])
         keys = mix((sums[b] - sums[a]) * down[a])
         some, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(some) > self.LIMIT:
+        if len(self.known) + len(some) > self.limit:
             self.clear()
         listed = some.tolist()
         new = [k for k, key in enumerate(listed) if key not in self.known]
@@ -155,10 +156,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, task, seen = coder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        coder, task, seen = coder_of(tokenizer) if retain else WordTokens(tokenizer, 120_000), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offs = flat_bytes(batch["text"])
-            for x, y in in_chunks(offs, 3 << 19):
+            for x, y in in_chunks(offs, 3 << 19 if retain else 1 << 19):
                 texts = [t or "" for t in batch["text"].slice(x, y - x).to_pylist()]
                 ids, count = coder.encode(texts)
                 total = count + 1
@@ -190,8 +191,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             lean()
         if not retain:
-            coder.clear()
-            sys.modules["pyspark"].__dict__["_weave_coders"].pop(tokenizer, None)
+            del coder
             lean()
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
