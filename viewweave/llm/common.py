@@ -305,10 +305,8 @@ def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def lean() -> None:
     """Gives what a worker's block has freed back to the machine."""
     import ctypes
-    import gc
 
     _powers.clear()
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -156,10 +156,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, task, seen = coder_of(tokenizer) if retain else WordTokens(tokenizer, 120_000), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        coder, task, seen = coder_of(tokenizer) if retain else WordTokens(tokenizer, 80_000), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for k, batch in enumerate(batches):
             _, offs = flat_bytes(batch["text"])
-            for x, y in in_chunks(offs, 3 << 19 if retain else 1 << 19):
+            for x, y in in_chunks(offs, 3 << 19 if retain else 3 << 17):
                 texts = [t or "" for t in batch["text"].slice(x, y - x).to_pylist()]
                 ids, count = coder.encode(texts)
                 total = count + 1
@@ -189,7 +189,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     cols.append(pa.array([whole[h : h + n].astype(np.int32) for h, n in zip(head.tolist(), length.tolist())], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-            lean()
+            if not retain or k % 8 == 7:
+                lean()
         if not retain:
             del coder
             lean()
