@@ -54,7 +54,7 @@ class WordTokens:
     any other text goes to the tokenizer whole, so results are those of the tokenizer itself.
     """
 
-    LIMIT = 400_000  # distinct pre-tokens kept; beyond it the memory starts anew
+    LIMIT = 600_000  # distinct pre-tokens kept; beyond it the memory starts anew
 
     def __init__(self, path: str, limit: int = LIMIT):
         from tokenizers import Tokenizer
@@ -157,9 +157,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         from pyspark import TaskContext
 
         coder, task, seen = coder_of(tokenizer) if retain else WordTokens(tokenizer, 80_000), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for k, batch in enumerate(batches):
+        for batch in batches:
             _, offs = flat_bytes(batch["text"])
-            for x, y in in_chunks(offs, 3 << 19 if retain else 3 << 17):
+            for x, y in in_chunks(offs, 3 << 20 if retain else 3 << 17):
                 texts = [t or "" for t in batch["text"].slice(x, y - x).to_pylist()]
                 ids, count = coder.encode(texts)
                 total = count + 1
@@ -189,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     cols.append(pa.array([whole[h : h + n].astype(np.int32) for h, n in zip(head.tolist(), length.tolist())], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-            if not retain or k % 8 == 7:
+            if not retain:
                 lean()
         if not retain:
             del coder
