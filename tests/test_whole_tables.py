@@ -29,3 +29,25 @@ def test_streams_read_all_events(spark, events):
         v = [own[f] % 200 for f in sorted(own)]
         want.add((c, len(v), sum(abs(a - b) > 25 for a, b in zip(v[1:], v))))
     assert {(r.camera_id, r.frames, r.moved) for r in QUERIES["q_stream_absdiff_state"](spark, at).collect()} == want
+
+
+def test_artifact_holds_all_events(spark, events, tmp_path):
+    from pyspark.sql import functions as F
+
+    from viewweave.plans.queries import QUERIES
+    from viewweave.sources.readers import read_proposals
+    from viewweave.sources.sinks import proposal_payload, write_proposals
+
+    at, rows = events
+    want = defaultdict(lambda: [0, 0])
+    for i, u, *_ in rows:
+        own = want[f"c00{i % 4 + 1}"]
+        own[0], own[1] = own[0] + 1, own[1] + (i * 37 + u * 11) % 560 + (i * 53 + u * 7) % 300
+    assert {(r.camera_id, r.n, r.checksum, r["first"]) for r in QUERIES["q_artifact_roundtrip"](spark, at).collect()} == {(c, n, s, "000000") for c, (n, s) in want.items()}
+    box = F.expr("named_struct('x', 1, 'y', 2, 'w', 3, 'h', 4)")
+    frames = spark.createDataFrame([("a", f) for f in (0, 1, 999, 1000, 2500, 2500)] + [("b", 7)], "camera_id string, frame_id long")
+    props = frames.select(F.lit("").alias("proposal_id"), "camera_id", "frame_id", box.alias("bbox"), F.lit(0.5).alias("score"), F.col("frame_id").alias("source_frame"))
+    assert proposal_payload(props, ["a", "c"]).count() == 5  # a: three ranges, b, and c without rows
+    write_proposals(props, str(tmp_path / "json"), as_json=True, cameras=["a", "c"])
+    back = read_proposals(spark, str(tmp_path / "json"))
+    assert Counter((r.proposal_id, r.camera_id, r.frame_id, r.score) for r in back.collect()) == Counter([*((f"a_f{f:06d}_p{k:06d}", "a", f, 0.5) for f, k in ((0, 0), (1, 0), (999, 0), (1000, 0), (2500, 0), (2500, 1))), ("b_f000007_p000000", "b", 7, 0.5)])

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.geometry import rescale_half_even
 
 
+FRAMES_PER_DOCUMENT = 1000
+
+
 def proposal_payload(props: DataFrame, cameras: list[str] | None = None) -> DataFrame:
-    """One row: the proposal artifact as JSON text; declared cameras without rows are there, empty. One artifact is one document."""
+    """The proposal artifact as JSON texts, one a camera and range of FRAMES_PER_DOCUMENT frames; a declared camera without rows has an empty one."""
     record = F.struct("proposal_id", "camera_id", "frame_id", F.array("bbox.x", "bbox.y", "bbox.w", "bbox.h").alias("bbox"), "score", "source_frame")
     frames = props.groupBy("camera_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("proposal_id", record.alias("r")))).alias("rs"))
-    cams = frames.groupBy("camera_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("frame_id").cast("string"), F.transform("rs", lambda x: x.r)))).alias("f"))
+    part = F.floor(F.col("frame_id") / F.lit(FRAMES_PER_DOCUMENT)).alias("part")
+    cams = frames.groupBy("camera_id", part).agg(F.map_from_entries(F.collect_list(F.struct(F.col("frame_id").cast("string"), F.transform("rs", lambda x: x.r)))).alias("f"))
     if cameras:
         declared = props.sparkSession.createDataFrame([(c,) for c in cameras], "camera_id string")
         cams = cams.join(declared, "camera_id", "full").withColumn("f", F.coalesce("f", F.create_map().cast(cams.schema["f"].dataType)))
-    whole = cams.agg(F.map_from_entries(F.collect_list(F.struct("camera_id", "f"))).alias("cameras"))
-    return whole.select(F.to_json(F.struct(F.lit(1).alias("version"), "cameras")).alias("value"))
+    return cams.select(F.create_map("camera_id", "f").alias("cameras")).select(F.to_json(F.struct(F.lit(1).alias("version"), "cameras")).alias("value"))
 
 
 def write_proposals(props: DataFrame, path: str, as_json: bool = False, cameras: list[str] | None = None) -> None:
     if as_json:
-        proposal_payload(props, cameras).write.mode("overwrite").text(path)
+        # each document is a file of its own, as readers take a file as one document
+        proposal_payload(props, cameras).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     else:
         props.write.mode("overwrite").partitionBy("camera_id").parquet(path)
 
