@@ -25,6 +25,7 @@ import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +141,20 @@ def export_segments(segments: DataFrame, folder: str) -> int:
 # ---------------------------------------------------------------- the index
 
 
+#: What a key must not hold inside a line; keys are sorted, stored and searched in this escaped form.
+ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\x00", "\\0"))
+
+
 def _line(key: str, row: int) -> str:
+    """A line's sort key, of an escaped key."""
     return f"{key}\x00{row:020d}"
 
 
 def build_index(segments: DataFrame) -> DataFrame:
     """The stored index: (shard, block, first, lines): blocks of sorted lines, compressed; (shard, block, first) is the directory."""
     entries = segments.select("segment", F.explode("entries").alias("e")).select("e.*", "segment")
+    for plain, safe in ESCAPES:
+        entries = entries.withColumn("key", F.replace("key", F.lit(plain), F.lit(safe)))
     n = segments.agg(F.sum(F.size("entries"))).first()[0] or 0
     ordered = entries.repartitionByRange(max(1, -(-n // SHARD_ROWS)), "key", "row").sortWithinPartitions("key", "row")
 
@@ -161,8 +169,7 @@ def build_index(segments: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, row, segment, start, length in zip(*(batch[c].to_pylist() for c in ("key", "row", "segment", "start", "length"))):
-                safe = key.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n")
-                lines.append(f"{_line(safe, row)}\t{segment}\t{start}\t{length}")
+                lines.append(f"{_line(key, row)}\t{segment}\t{start}\t{length}")
                 if len(lines) == BLOCK_LINES:
                     yield flush()
                     block, lines = block + 1, []
@@ -183,13 +190,13 @@ def find_line(first_keys: list[str], block_of, key: str) -> str | None:
 
 
 def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, page, segment, start, length) of wanted captures (key, row, page). Keys sort by code points in blocks and in shards alike."""
+    """(row, page, segment, start, length) of wanted captures (key, row, page); one that is not found is an error. Keys sort by code points in blocks and in shards alike."""
     starts = index.where("block = 0").select("shard", "first").orderBy("shard").collect()  # one row a shard of SHARD_ROWS captures
     first, shards = [r["first"] for r in starts], [r.shard for r in starts]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_line(k.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), r) for k, r in zip(batch["key"].to_pylist(), batch["row"].to_pylist())]
+            keys = [_line(reduce(lambda x, e: x.replace(*e), ESCAPES, k), r) for k, r in zip(batch["key"].to_pylist(), batch["row"].to_pylist())]
             shard = [shards[max(0, bisect.bisect_right(first, k) - 1)] for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(keys, pa.string()), batch["row"], batch["page"]], names=["shard", "line_key", "row", "page"])
 
@@ -206,8 +213,9 @@ def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
         found = []
         for key, row, page in sorted(zip(right["line_key"].to_pylist(), right["row"].to_pylist(), right["page"].to_pylist()), key=lambda x: x[0]):
             line = find_line(names, block_of, key)
-            if line is not None:
-                found.append((row, page, *map(int, line.split("\t")[1:])))
+            if line is None:
+                raise ValueError(f"the capture {key!r} of page {page} is not in the index")
+            found.append((row, page, *map(int, line.split("\t")[1:])))
         return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate(("row", "page", "segment", "start", "length"))})
 
     dealt = wanted.mapInArrow(deal, "shard long, line_key string, row long, page long")
