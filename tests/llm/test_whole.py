@@ -24,3 +24,21 @@ def test_warc_keys_with_control_characters(spark, tmp_path):
     lost = spark.createDataFrame([("org,b)/none", 1, 99)], "key string, row long, page long")
     with pytest.raises(Exception, match="not in the index"):
         look_up(index, lost).collect()
+
+
+def test_packing_of_texts_with_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from viewweave.llm.packing import WordTokens, pack_documents
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["plain words", "hello <|endoftext|> world", "<|startoftext|>a", "", "<|EndOfText|> x", "<|endoftext|>" * 3, "end <|endof", "text|> again"]
+    plain = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, count = WordTokens(path).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == plain
+    table = stored(spark, tmp_path / "d", list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(plain))
+    for retain in (True, False):
+        assert Counter((r.doc_id, r.length, r.ids_crc32) for r in pack_documents(table, path, retain=retain).collect()) == want

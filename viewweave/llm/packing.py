@@ -51,7 +51,7 @@ class WordTokens:
     """Token ids of many texts by a tokenizers file whose pieces never cross its pre-tokens.
 
     Texts of plain Latin characters are split in numpy and each distinct pre-token is given to the tokenizer once;
-    any other text goes to the tokenizer whole, so results are those of the tokenizer itself.
+    any other text, and any that holds an added token, goes to the tokenizer whole, so results are those of the tokenizer itself.
     """
 
     LIMIT = 600_000  # distinct pre-tokens kept; beyond it the memory starts anew
@@ -61,7 +61,10 @@ class WordTokens:
 
         self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens cross pre-tokens; one that is sought in the normalised text can stand there in other letters
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.exact = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]
         kinds = np.full(0x251, 9, np.uint8)  # the last entry stands for all other characters
         for c in [*range(9, 14), *range(0x20, 0x7F), *range(0xA1, 0x250)]:
             ch, cat = chr(c), unicodedata.category(chr(c))
@@ -82,6 +85,9 @@ class WordTokens:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def holds_added(self, text: str) -> bool:
+        return any(c in text for c in self.exact) or bool(self.folded) and any(c in text.lower() for c in self.folded)
+
     def learn(self, keys: list[int], texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
@@ -105,7 +111,10 @@ class WordTokens:
         codes = np.minimum(codes, 0x250).astype(np.intp)
         kind = self.kinds[codes]
         odd = np.flatnonzero((kind == 9) | (codes == 0x27))
-        odd = np.unique(np.searchsorted(begin, odd, "right") - 1)
+        odd = np.searchsorted(begin, odd, "right") - 1
+        if self.holds_added(joined):
+            odd = np.concatenate([odd, np.array([d for d, text in enumerate(texts) if self.holds_added(text)], odd.dtype)])
+        odd = np.unique(odd)
         for d in odd:
             kind[begin[d] : begin[d] + lens[d]] = 0
         first = kind != 0
