@@ -51,3 +51,22 @@ def test_artifact_holds_all_events(spark, events, tmp_path):
     write_proposals(props, str(tmp_path / "json"), as_json=True, cameras=["a", "c"])
     back = read_proposals(spark, str(tmp_path / "json"))
     assert Counter((r.proposal_id, r.camera_id, r.frame_id, r.score) for r in back.collect()) == Counter([*((f"a_f{f:06d}_p{k:06d}", "a", f, 0.5) for f, k in ((0, 0), (1, 0), (999, 0), (1000, 0), (2500, 0), (2500, 1))), ("b_f000007_p000000", "b", 7, 0.5)])
+
+
+def test_pairs_of_all_frames(spark, events):
+    from viewweave.operators.calibration import same_diff_pairs, tracks
+    from viewweave.plans.fixtures import detections
+    from viewweave.plans.queries import QUERIES
+
+    at, rows = events
+    px = {i: (i * 37 + u * 11) % 560 + (24 + u % 56) / 2 for i, u, *_ in rows}
+    got = Counter((r.frame_id, r.object_id, r.sx, r.rx) for r in QUERIES["q_same_id_join"](spark, at).collect())
+    assert got == Counter((i // 16, i // 4, px[i], px[i + 1]) for i in range(0, N, 4))
+    n = N // 16  # a frame has four objects in each camera: 4 pairs that are the same, 12 that are not
+    whole = {(a, b, same): each * n for a, b in (("c001", "c002"), ("c002", "c004")) for same, each in ((True, 4), (False, 12))}
+    assert {(r.src, r.ref, r.same): r.n for r in QUERIES["q_same_diff"](spark, at).collect()} == whole
+    from pyspark.sql import functions as F
+
+    points = tracks(detections(spark, at).withColumn("object_id", F.expr("det_id div 4")))
+    some = same_diff_pairs(points, [("c001", "c002")], 100).groupBy("same").count().collect()
+    assert {r.same: r["count"] for r in some} == {True: 4 * 9, False: 12 * 9}  # the frame that passes the cap is the last

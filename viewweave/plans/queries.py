@@ -366,18 +366,18 @@ def _points(spark, d):
     return cal.tracks(detections(spark, d).withColumn("object_id", F.expr("det_id div 4")))
 
 
-def _same_diff(spark, d, cap=None):
-    return cal.same_diff_pairs(_points(spark, d), [("c001", "c002"), ("c002", "c004")], cap)
+def _same_diff(spark, d):
+    return cal.same_diff_pairs(_points(spark, d), [("c001", "c002"), ("c002", "c004")])
 
 
 @query(f"{POINT_SQL} SELECT a.frame_id, a.object_id, a.px AS sx, b.px AS rx FROM pt a JOIN pt b ON a.frame_id = b.frame_id AND a.object_id = b.object_id WHERE a.camera_id = 'c001' AND b.camera_id = 'c002' AND a.frame_id BETWEEN 10 AND 400")
 def q_same_id_join(spark, d):
-    return cal.correspondences(_points(spark, d), "c001", "c002", 10, 400).select("frame_id", "object_id", "sx", "rx")
+    return cal.correspondences(_points(spark, d), "c001", "c002").select("frame_id", "object_id", "sx", "rx")
 
 
 @query(f"{SAME_SQL}, p AS (SELECT src, ref, frame_id, sum(CASE WHEN same THEN 0 ELSE 1 END) AS n FROM sd GROUP BY 1, 2, 3), k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY src, ref ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT src, ref, same, count(*) AS n, round(sum(d), 3) AS total FROM sd JOIN k USING (src, ref, frame_id) WHERE b <= 2000 GROUP BY 1, 2, 3")
 def q_same_diff(spark, d):
-    return _same_diff(spark, d, 2000).groupBy("src", "ref", "same").agg(F.count("*").alias("n"), F.round(F.sum("d"), 3).alias("total"))
+    return _same_diff(spark, d).groupBy("src", "ref", "same").agg(F.count("*").alias("n"), F.round(F.sum("d"), 3).alias("total"))
 
 
 @query(f"{SAME_SQL} SELECT src, ref, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.95), 6) AS p95 FROM sd GROUP BY 1, 2")
