@@ -42,3 +42,17 @@ def test_packing_of_texts_with_added_tokens(spark, tmp_path):
     want = Counter((i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(plain))
     for retain in (True, False):
         assert Counter((r.doc_id, r.length, r.ids_crc32) for r in pack_documents(table, path, retain=retain).collect()) == want
+
+
+def test_neighbours_beside_repeated_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from viewweave.llm.ann import nearest
+
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(8).tolist()
+    rows = [(7, v)] * 30 + [(9, v)] + [(100 + i, rng.standard_normal(8).tolist()) for i in range(20)]
+    table = stored(spark, tmp_path / "v", rows, "vec_id long, embedding array<double>", 1)
+    got = {(r.query_id, r.rank): r.vec_id for r in nearest(table, F.col("vec_id").isin(7, 9)).collect()}
+    assert got[7, 1] == 9 and got[9, 1] == 7
+    assert len(got) == 10 and 7 not in [i for (q, _), i in got.items() if q == 7] and len({i for (q, _), i in got.items() if q == 9}) == 5

@@ -147,7 +147,7 @@ def distinct_vectors(table: DataFrame, id_col: str, vec_col: str, dim: int, k: i
 
         def flush():
             keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([sorted(held[x])[: k + 1] for x in keys], pa.list_(pa.int64()))], names=["vec", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([sorted(set(held[x]))[: k + 1] for x in keys], pa.list_(pa.int64()))], names=["vec", "ids"])
             held.clear()
 
         for batch in batches:
@@ -157,7 +157,7 @@ def distinct_vectors(table: DataFrame, id_col: str, vec_col: str, dim: int, k: i
                 own = held.setdefault(v.tobytes(), [])
                 own.append(ids[i])
                 if len(own) > 4 * (k + 1):
-                    own[:] = sorted(own)[: k + 1]
+                    own[:] = sorted(set(own))[: k + 1]
             if len(held) > 20_000:
                 yield from flush()
         if held:
