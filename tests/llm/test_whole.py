@@ -56,3 +56,14 @@ def test_neighbours_beside_repeated_rows(spark, tmp_path):
     got = {(r.query_id, r.rank): r.vec_id for r in nearest(table, F.col("vec_id").isin(7, 9)).collect()}
     assert got[7, 1] == 9 and got[9, 1] == 7
     assert len(got) == 10 and 7 not in [i for (q, _), i in got.items() if q == 7] and len({i for (q, _), i in got.items() if q == 9}) == 5
+
+
+def test_quality_query_has_a_row_a_document(spark, tmp_path):
+    from viewweave.llm.queries import QUERIES
+
+    rows = [(i, (f"fine words number {i} " * 20) if i % 4 else (f"BAD!! {i} " * 30), "s", "en") for i in range(200)] + [(900, None, "s", "en")]
+    stored(spark, tmp_path / "documents.parquet", rows, "doc_id long, text string, source string, lang string")
+    stored(spark, tmp_path / "labels.parquet", [(i, int(i % 4 != 0), 0) for i in range(0, 200, 3)], "doc_id long, quality int, toxic int")
+    got = [(r.doc_id, r.keep) for r in QUERIES["op4_quality_classifier"](spark, str(tmp_path)).collect()]
+    assert sorted(i for i, _ in got) == sorted(i for i, *_ in rows)
+    assert {i: keep for i, keep in got if i < 200} == {i: bool(i % 4) for i in range(200)}

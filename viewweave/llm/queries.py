@@ -35,12 +35,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that stay, with what they were judged by; those rejected have no row."""
+    """Every document with what it was judged by; keep is false for those rejected."""
     from .quality import judge
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    kept = judge(docs, _table(spark, sf_dir, "labels")).where("_keep")
-    return kept.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior", "keep")))
+    judged = judge(docs, _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior", "keep")))
 
 
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
