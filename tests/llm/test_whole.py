@@ -67,3 +67,16 @@ def test_quality_query_has_a_row_a_document(spark, tmp_path):
     got = [(r.doc_id, r.keep) for r in QUERIES["op4_quality_classifier"](spark, str(tmp_path)).collect()]
     assert sorted(i for i, _ in got) == sorted(i for i, *_ in rows)
     assert {i: keep for i, keep in got if i < 200} == {i: bool(i % 4) for i in range(200)}
+
+
+def test_stages_keep_the_right_documents(spark, tmp_path):
+    from viewweave.llm.dedup import cut_texts
+    from viewweave.llm.jaccard import keep_one
+
+    words = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(4)]
+    rows = [(1, words[0]), (2, words[1]), (3, words[0]), (4, words[2]), (5, words[1] + " more"), (6, words[3])]
+    table = stored(spark, tmp_path / "d", rows, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in keep_one(table, shingle=5, num=8, den=10).collect()} == {rows[k] for k in (0, 1, 3, 5)}
+    tail = [(1, words[0]), (2, "own " + words[0] + " end"), (3, words[2]), (4, words[2])]
+    cut = stored(spark, tmp_path / "c", tail, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in cut_texts(cut).collect()} == {(1, words[0]), (2, "own  end"), (3, words[2])}
