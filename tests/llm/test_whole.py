@@ -40,8 +40,7 @@ def test_packing_of_texts_with_added_tokens(spark, tmp_path):
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == plain
     table = stored(spark, tmp_path / "d", list(enumerate(texts)), "doc_id long, text string")
     want = Counter((i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(plain))
-    for retain in (True, False):
-        assert Counter((r.doc_id, r.length, r.ids_crc32) for r in pack_documents(table, path, retain=retain).collect()) == want
+    assert Counter((r.doc_id, r.length, r.ids_crc32) for r in pack_documents(table, path).collect()) == want
 
 
 def test_neighbours_beside_repeated_rows(spark, tmp_path):

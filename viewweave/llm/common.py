@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,35 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; only where none is named (tests) a local one."""
+    """The folder named by spark.checkpoint.dir, which the driver and all executors see.
+
+    Where none is named, a session whose tasks all run in this process (a local master) gets a temporary one; on a cluster
+    that is an error, as each machine would keep its own rows.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weave")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weave-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/weave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes what materialise() wrote; for tables that no plan reads any more."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -50,23 +64,26 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins left, whose keys may be skewed, to a right side with one row a key.
 
-    A counted small right side is broadcast. A larger one is a sort-merge join whose skewed partitions adaptive execution
-    splits on the left; nothing above it in these operators asks for its partitioning, so that rule applies.
+    A counted small right side is broadcast. A larger one is a sort-merge join without salt: with one row a key on the right,
+    adaptive execution splits a skewed partition on the left; nothing above it in these operators asks for its partitioning,
+    so that rule applies.
     """
     return left.join(F.broadcast(right) if small_enough(right, limit) else right, keys, how)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, after seeing to it that whole texts go to Python by no more than so many at a time (the default is 10,000)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name, "10000") or 0) not in range(1, rows + 1):
-        df.sparkSession.conf.set(name, str(rows))
-    return df
-
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While a stored result is computed, at most so many rows (whole texts, packed blocks) go to Python at a time.
 
-def scan_partitions(df: DataFrame) -> int:
-    """The partitions that a scan of df has, from the plan alone."""
-    return max(1, df.rdd.getNumPartitions())
+    The session's own setting holds again afterwards.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def power_of_two(n: int) -> int:
@@ -259,13 +276,15 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
 
 BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, part int, data binary"
+UID_BITS = 20  # rows of a block; a row's number is its block's, shifted, and its place there
+TEXT_ROWS, PACKED_ROWS = 1000, 4  # whole texts and packed blocks that go to Python at a time
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
-    """Packs a stored table's texts into compressed blocks (block, part = -1, data).
+def store_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """Packs whole texts into a stored table of compressed blocks (block, part = -1, data).
 
-    A block's number comes from its scan partition, so a lost block is computed again alike. docs must be a scan of a
-    stored table (else materialise() it first). With carry, a block also holds the other columns, for carried().
+    Everything that numbers rows reads these blocks, so a scan that is cut otherwise later, or a lost executor, changes no
+    number; docs may be any DataFrame. With carry, a block also holds the other columns, for carried().
     """
     others = [c for c in docs.columns if c != text_col] if carry else []
 
@@ -284,16 +303,33 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
                 with pa.ipc.new_stream(sink, own.schema) as writer:
                     writer.write_table(own)
                 rest = [np.frombuffer(sink.getvalue(), np.uint8)]
-            data = pack(np.asarray(ids.fill_null(0)).astype(np.int64), null, offs, buf, *rest)
+            data = pack(np.asarray(ids.fill_null(0)).astype(np.int64), null, offs, buf, np.asarray(table["text"].combine_chunks().is_valid()), *rest)
             yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
             lean()
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others))).mapInArrow(run, BLOCK_SCHEMA)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others)))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return materialise(own.mapInArrow(run, BLOCK_SCHEMA))
+
+
+def with_rows(blocks: DataFrame, uids: DataFrame) -> DataFrame:
+    """blocks with the column rows: the places of those of uids (uid) that lie in the block, null if there are none.
+
+    At most BROADCAST_ROWS numbers are broadcast; more are joined, for which each block moves once.
+    """
+    own = uids.select(F.shiftright("uid", UID_BITS).alias("block"), F.col("uid").bitwiseAND((1 << UID_BITS) - 1).cast("int").alias("row"))
+    lists = own.groupBy("block").agg(F.collect_list("row").alias("rows"))
+    return blocks.join(F.broadcast(lists) if small_enough(uids) else lists, "block", "left")
 
 
 def carried(data: bytes) -> pa.Table:
     """The other columns of a block, in their order."""
-    return pa.ipc.open_stream(pa.py_buffer(unpack(data)[4].tobytes())).read_all()
+    return pa.ipc.open_stream(pa.py_buffer(unpack(data)[5].tobytes())).read_all()
+
+
+def text_valid(data: bytes) -> np.ndarray:
+    """Whether each text of a block is not null."""
+    return unpack(data)[4]
 
 
 def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_SCHEMA, blocks_of, carried, deltas, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, prefix_hash, rows, scan_partitions, undelta, unpack
+from .common import BLOCK_SCHEMA, PACKED_ROWS, arrow_rows, carried, deltas, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, prefix_hash, rows, store_blocks, undelta, unpack
 
 GRAM = 25
 LAST = np.int64(2**63 - 1)
@@ -393,11 +393,12 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, width: int, carry: boo
     """Blocks met with all replies, a group a block."""
     if width < 2 * GRAM:
         raise ValueError(f"width must be at least {2 * GRAM}")
-    blocks = blocks_of(docs, id_col, text_col)
-    bits = power_of_two(max(16, 2 * scan_partitions(docs))).bit_length() - 1
-    shared = materialise(blocks.mapInArrow(_ask_keys(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_keys, BLOCK_SCHEMA))
-    least = materialise(blocks.unionByName(shared).groupBy("block").applyInArrow(_ask_runs(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_runs(width), BLOCK_SCHEMA))
-    return blocks_of(docs, id_col, text_col, carry=carry).unionByName(shared).unionByName(least)
+    blocks = store_blocks(docs, id_col, text_col, carry=carry)
+    bits = power_of_two(max(16, blocks.count() // 4)).bit_length() - 1
+    with arrow_rows(docs.sparkSession, PACKED_ROWS):
+        shared = materialise(blocks.mapInArrow(_ask_keys(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_keys, BLOCK_SCHEMA))
+        least = materialise(blocks.unionByName(shared).groupBy("block").applyInArrow(_ask_runs(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_runs(width), BLOCK_SCHEMA))
+    return blocks.unionByName(shared).unionByName(least)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, with_text: bool = True) -> DataFrame:

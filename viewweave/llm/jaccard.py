@@ -8,14 +8,15 @@ gives signatures of at least t features, where t is the largest threshold that n
 share thin signatures by chance. No similar pair is lost: the set with the larger threshold has an agreeing part that
 reaches it, and the other set gives that signature too.
 
-Classes: exact copies count once (per block, then by a fingerprint of the set). Sets that share a signature, directly or over
-others, are a group of candidates; each set is in one group. Counts of a set's shingles by hash cell bound the symmetric difference
-from below; groups fall apart in those within which that bound allows links (a lossless filter). A group's sets are compared in tiles of bounded size, each pair in
-one tile, by one pass over the tile's shingles a set; a tile gives only links that join classes. Every candidate pair is verified
-by its exact similarity, and thousands of near copies never become pairs of rows.
+Classes: exact copies count once (per block, then by a fingerprint of the set). Only sets that share a signature directly are ever
+compared, in two steps. First each group of a shared signature is a star: its members against its smallest member. The classes that
+these links form are known before the second step, in which a group's members are compared only where their classes differ.
+In both steps sizes and parity sketches (their distance never exceeds the sets') drop pairs that cannot be similar; every other pair
+is verified by its exact similarity. A large cluster of near copies thus costs a star, not its pairs.
 
 Scale: signatures are sorted 64-bit keys in packed rows, dealt by their top bits; only members of shared signatures become
-rows. Texts to verify are those of such members only, each sent once a block of its group. Nothing is broadcast without a count.
+rows. A group of more than TILE members that still has several classes is compared in tiles, a task each. Pairs to verify are
+dealt by their first set, cut in pieces of bounded weight; only texts of such sets move. Nothing is broadcast without a count.
 
 Cases: null texts and texts without words have empty sets and link with nothing; fewer than k words are one shingle; rows
 with the same id are documents of their own, linked if alike; null ids take part and a class of none but null ids has a
@@ -24,18 +25,20 @@ null component; an empty table gives an empty result; other columns are not read
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, blocks_of, chunked_words, deltas, flat_bytes, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, rows, scan_partitions, shingles, sized_join, small_batches, small_enough, small_ints, undelta, unpack
+from .common import BLOCK_SCHEMA, PACKED_ROWS, UID_BITS, arrow_rows, carried, chunked_words, deltas, discard, flat_bytes, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, rows, shingles, sized_join, small_ints, store_blocks, text_valid, undelta, unpack, with_rows
 
-UID_BITS = 20  # documents of a block
-TILE_SETS = 800  # sets of one side of a tile
-TILE_SHINGLES = 400_000  # their shingles
 THIN = 3  # the largest threshold of features in a signature
-SKETCH_SETS = 1500  # sets of one side of a tile of sketches
+SKETCH = 8  # 64-bit words of a sketch
+TILE = 8192  # members of one side of a tile
+NEAR = 128  # neighbours in a group that are compared by shifts of whole arrays
+PIECE, TASK = 50_000, 200_000  # shingles of a piece of one set's pairs, and of a verifying task
 
 
 # ---------------------------------------------------------------- signatures
@@ -116,63 +119,15 @@ def _prints(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def sketches(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Per set the counts of its shingles in 2^j hash cells, about one cell for four shingles, at least 64; a byte each, capped."""
-    level = _level(sizes)
-    width = np.int64(1) << level
-    base = np.cumsum(width) - width
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    cell = base[owner] + (mix(sets ^ np.uint64(0xC2B2AE3D27D4EB4F)) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
-    flat = np.minimum(np.bincount(cell, minlength=int(width.sum())), 255).astype(np.uint8)
-    return [flat[a : a + w].tobytes() for a, w in zip(base.tolist(), width.tolist())]
-
-
-def _level(sizes: np.ndarray) -> np.ndarray:
-    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 4)).astype(np.int64), 6, 14)
-
-
-def _near_in(sizes: np.ndarray, packed: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs that span the groups of sets whose sketches allow a similarity of num/den."""
-    order = np.argsort(sizes, kind="stable")
-    size, level = sizes[order], _level(sizes[order])
-    label, out = np.arange(len(size)), []
-    for lv in np.unique(level).tolist():
-        first, end = np.searchsorted(level, lv), np.searchsorted(level, lv + 1, "right")
-        rows = np.zeros((end - first, 1 << lv), np.int16)
-        for r in range(first, end):
-            whole = np.frombuffer(packed[order[r]], np.uint8)
-            rows[r - first] = whole.reshape(-1, 1 << lv).sum(0)
-        for i in range(first, np.searchsorted(level, lv, "right")):
-            to = min(end, int(np.searchsorted(size, size[i] * den // num, "right")))
-            if to <= i + 1 or not (label[i + 1 : to] != label[i]).any():
-                continue
-            gap = np.abs(rows[i + 1 - first : to - first] - rows[i - first]).sum(1, dtype=np.int64)
-            for j in (np.flatnonzero((den + num) * gap <= (den - num) * (size[i + 1 : to] + size[i])) + i + 1).tolist():
-                if label[i] != label[j]:
-                    out.append((int(order[i]), int(order[j])))
-                    label[label == label[j]] = label[i]
-    return out
-
-
-def _sift(num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        uid, n, sketch = np.asarray(table["uid"]), np.asarray(table["n"]), table["sketch"].to_pylist()
-        left, right = [], []
-        for own in _groups(table):
-            for a, b in _near_in(n[own], [sketch[x] for x in own.tolist()], num, den):
-                left.append(uid[own[a]])
-                right.append(uid[own[b]])
-        lean()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return run
-
+def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per set SKETCH words of 64 bits: the parities of its shingles' counts in 64 * SKETCH hash cells.
 
-def _groups(table: pa.Table) -> list[np.ndarray]:
-    """The rows of each (sg, i, j)."""
-    group = np.unique(np.stack([np.asarray(table[x]) for x in ("sg", "i", "j")]), axis=1, return_inverse=True)[1].reshape(-1)
-    order = np.argsort(group, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+    Two sets that differ in d shingles have sketches that differ in at most d bits.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (mix(sets ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+    odd = np.bincount(owner * (64 * SKETCH) + cell, minlength=len(sizes) * 64 * SKETCH).astype(np.uint8).reshape(len(sizes), -1) & 1
+    return np.packbits(odd, axis=1).reshape(len(sizes), SKETCH, 8).view(np.int64).reshape(len(sizes), SKETCH)
 
 
 def _describe(k: int):
@@ -182,7 +137,8 @@ def _describe(k: int):
                 for a, ids, null, sets, sizes in _sets(data, k):
                     uid = (np.int64(block) << UID_BITS) + a + np.arange(len(ids))
                     x, y = _prints(sets, sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=null), pa.array(sizes), pa.array(x), pa.array(y), pa.array(sketches(sets, sizes), pa.binary())], names=["uid", "doc_id", "n", "fp", "fq", "sketch"])
+                    sketch = sketches(sets, sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=null), pa.array(sizes), pa.array(x), pa.array(y), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH))], names=["uid", "doc_id", "n", "fp", "fq", *SKETCHES])
                 lean()
 
     return run
@@ -240,174 +196,220 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"gid": pa.array(np.repeat(group[many], size[many]).view(np.int64)), "uid": pa.array(uid[at])})
 
 
-# ---------------------------------------------------------------- verification
+# ---------------------------------------------------------------- candidates
 
+SKETCHES = [f"s{j}" for j in range(SKETCH)]
 
-def _texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(uid, text) of the wanted uids of a stored table."""
-    blocks = blocks_of(docs, id_col, text_col)
-    small = small_enough(wanted)
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.uid for r in wanted.collect()], np.int64))) if small else None  # at most BROADCAST_ROWS ids
 
-    def run(batches):
-        for batch in batches:
-            for block, data in zip(batch["block"].to_pylist(), batch["data"].to_pylist()):
-                ids, _, offs, buf = open_block(data)
-                uid = (np.int64(block) << UID_BITS) + np.arange(len(ids))
-                take = np.flatnonzero(np.isin(uid, known.value)) if known else np.arange(len(ids))
-                for x in range(0, len(take), 500):
-                    part = take[x : x + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[part]), pa.array([buf[offs[j] : offs[j + 1]].tobytes() for j in part.tolist()], pa.binary())], names=["uid", "text"])
-
-    found = blocks.mapInArrow(run, "uid long, text binary")
-    return found if small else found.join(wanted, "uid", "left_semi")
-
-
-def _links_in(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the classes among sets; where both sides occur only pairs across sides count."""
-    size = np.array([len(x) for x in sets])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(int(code.max()) + 1, bool)
-    label, links = np.arange(len(sets)), []
-    both = len(np.unique(side)) > 1
-    order = np.flatnonzero(side == 0) if both else np.arange(len(sets))
-    for i in order.tolist():
-        other = side == 1 if both else np.arange(len(sets)) > i
-        if not (other & (label != label[i])).any():
-            continue
-        own = code[cuts[i] : cuts[i + 1]]
-        mark[own] = True
-        common = np.add.reduceat(mark[code], cuts[:-1], dtype=np.int64)
-        mark[own] = False
-        for j in np.flatnonzero(other & (den * common >= num * (size + size[i] - common))).tolist():
-            if label[i] != label[j]:
-                links.append((i, j))
-                label[label == label[j]] = label[i]
-    return links
-
-
-def _tile(k: int, num: int, den: int):
+def plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, na, nb): the pairs (a, b) that sizes and sketches allow to be as similar as num/den."""
+    side = lambda x: facts.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}{x}") for c in SKETCHES))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in SKETCHES), F.lit(0))
+    fits = (F.greatest("na", "nb") * num <= F.least("na", "nb") * den) & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    return both.where(fits).select("a", "b", "na", "nb")
+
+
+def _across(num: int, den: int):
+    """Plausible pairs of one task's groups (gid, i, j): members of different classes, but for those with the group's leader."""
+
+    def allowed(t: dict[str, np.ndarray], x, y) -> np.ndarray:
+        n, m = t["n"][x], t["n"][y]
+        ok = (t["label"][x] != t["label"][y]) & (t["uid"][x] != t["lead"][x]) & (t["uid"][y] != t["lead"][y]) & (np.maximum(n, m) * num <= np.minimum(n, m) * den)
+        return ok & (np.bitwise_count(t["sketch"][x] ^ t["sketch"][y]).sum(-1, dtype=np.int64) * (den + num) <= (n + m) * (den - num))
+
     def run(table: pa.Table) -> pa.Table:
+        t = {c: np.asarray(table[c]) for c in ("gid", "i", "j", "side", "uid", "lead", "label", "n")}
+        order = np.lexsort((t["uid"], t["side"], t["j"], t["i"], t["gid"]))
+        t = {c: x[order] for c, x in t.items()}
+        t["sketch"] = np.stack([np.asarray(table[c])[order].view(np.uint64) for c in SKETCHES], 1)
+        new = np.ones(len(order), bool)
+        for c in ("gid", "i", "j"):
+            new[1:] &= t[c][1:] == t[c][:-1]
+        new[1:] = ~new[1:]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(order)))
         left, right = [], []
-        buf, offs = flat_bytes(table["text"].cast(pa.string()))
-        uid, side = np.asarray(table["uid"]), np.asarray(table["side"])
-        h, c = chunked_words(buf, offs)
-        flat, sizes = shingles(h, c, k)
-        ends = np.cumsum(sizes)
-        for own in _groups(table):
-            for a, b in _links_in([flat[ends[x] - sizes[x] : ends[x]] for x in own.tolist()], side[own], num, den):
-                left.append(uid[own[a]])
-                right.append(uid[own[b]])
+        whole = np.repeat((size <= NEAR) & (t["i"][start] == t["j"][start]), size)
+        at, end = np.flatnonzero(whole), np.repeat(start + size, size)
+        for d in range(1, NEAR):
+            at = at[at + d < end[at]]
+            if not len(at):
+                break
+            hit = at[allowed(t, at, at + d)]
+            left.append(t["uid"][hit])
+            right.append(t["uid"][hit + d])
+        for a, m in zip(start[~whole[start]].tolist(), size[~whole[start]].tolist()):
+            own = np.arange(a, a + m)
+            if t["i"][a] == t["j"][a]:
+                kinds, count = np.unique(t["label"][own], return_counts=True)
+                # members of the largest class meet the others only
+                few = own[t["label"][own] != kinds[np.argmax(count)]]
+                many = own
+            else:
+                few, many = own[t["side"][own] == 0], own[t["side"][own] == 1]
+            for x in few.tolist():
+                hit = many[allowed(t, np.full(len(many), x), many)]
+                left.append(np.minimum(t["uid"][x], t["uid"][hit]))
+                right.append(np.maximum(t["uid"][x], t["uid"][hit]))
         lean()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": flat(left), "b": flat(right)})
 
     return run
 
 
-def _dealt(candidates: DataFrame, sets: int, weight: int) -> DataFrame:
-    """Candidates (sg, uid, n) in tiles (g: task key, sg, i, j, side, uid): every pair of a group meets in one tile.
+def across_classes(members: DataFrame, groups: DataFrame, label: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs within the groups (gid, lead, m) of members (gid, uid) that are of different classes and that sketches allow."""
+    named = members.join(groups.where("m > 2"), "gid").join(label.select(F.col("node").alias("uid"), "comp"), "uid", "left").select("gid", "uid", "lead", "m", F.coalesce("comp", "uid").alias("label"))
+    mixed = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
+    named = named.join(mixed, "gid", "left_semi").withColumn("nt", F.ceil(F.col("m") / TILE).cast("int")).withColumn("b", F.pmod(F.xxhash64("uid"), F.col("nt")).cast("int"))
+    tiled = named.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1))).select("gid", "uid", "lead", "label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nt")
+    tiled = materialise(tiled)
+    parts = power_of_two(1 + tiled.count() // 4000)  # small groups share tasks, a tile of a large one is its own
+    dealt = tiled.withColumn("g", F.when(F.col("nt") == 1, F.pmod(F.xxhash64("gid"), F.lit(parts))).otherwise(F.xxhash64("gid", "i", "j"))).drop("nt")
+    return dealt.join(facts.select("uid", "n", *SKETCHES), "uid").groupBy("g").applyInArrow(_across(num, den), "a long, b long").distinct()
 
-    Groups of up to `sets` sets and `weight` shingles are one tile; larger ones are cut in blocks, and each two blocks are a tile.
-    """
-    per = candidates.groupBy("sg").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    per = per.where("m > 1").select("sg", F.greatest(F.ceil(F.col("m") / sets), F.ceil(F.col("s") / weight)).cast("int").alias("nb"))
-    dealt = sized_join(candidates, materialise(per), ["sg"], "inner").withColumn("b", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    small = F.pmod(F.xxhash64("sg"), F.lit(max(12, power_of_two(1 + candidates.count() // 400))))
-    return dealt.select("sg", "uid", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "nb").withColumn("g", F.when(F.col("nb") == 1, small).otherwise(F.xxhash64("sg", "i", "j"))).drop("nb")
+
+# ---------------------------------------------------------------- verification
 
 
-def sifted(candidates: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """(sg, uid, n): the candidates regrouped by what their sketches allow; sets that may link with none are gone."""
-    met = _dealt(candidates, SKETCH_SETS, 100 * TILE_SHINGLES).join(facts.select("uid", "n", "sketch"), "uid")
-    groups = components(met.select("g", "sg", "i", "j", "uid", "n", "sketch").groupBy("g").applyInArrow(_sift(num, den), "a long, b long"))
-    return materialise(groups.join(candidates.select("uid", "n"), groups.node == F.col("uid")).select(F.col("comp").alias("sg"), "uid", "n"))
+def _texts_of(blocks: DataFrame, uids: DataFrame) -> DataFrame:
+    """(uid, text) of the wanted uids."""
 
+    def run(batches):
+        for batch in batches:
+            for block, data, wanted in zip(batch["block"].to_pylist(), batch["data"].to_pylist(), batch["rows"]):
+                if wanted.is_valid:
+                    take = np.sort(np.asarray(wanted.values)).tolist()
+                    ids, _, offs, buf = open_block(data)
+                    for x in range(0, len(take), 500):
+                        some = take[x : x + 500]
+                        yield pa.RecordBatch.from_arrays([pa.array([(block << UID_BITS) + j for j in some], pa.int64()), pa.array([buf[offs[j] : offs[j + 1]].tobytes() for j in some], pa.binary())], names=["uid", "text"])
+                lean()
 
-def verified(candidates: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the classes within each group of candidates (sg, uid, n), as similar as num/den or more.
+    return with_rows(blocks, uids).select("block", "data", "rows").mapInArrow(run, "uid long, text binary")
 
-    A tile compares each set with all others by one pass over their shingles and gives fewer links than it has sets.
-    """
-    dealt = _dealt(candidates, TILE_SETS, TILE_SHINGLES)
-    return dealt.join(texts, "uid").select("g", "sg", "i", "j", "side", "uid", "text").groupBy("g").applyInArrow(_tile(k, num, den), "a long, b long")
+
+def _verify(k: int, num: int, den: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = np.asarray(left["a"]), np.asarray(left["b"])
+        buf, offs = flat_bytes(right["text"].cast(pa.string()))
+        flat, sizes = shingles(*chunked_words(buf, offs), k)
+        ends = np.cumsum(sizes)
+        place = {u: x for x, u in enumerate(right["uid"].to_pylist())}
+        keep = np.zeros(len(a), bool)
+        before, own = None, np.zeros(0, np.uint64)
+        for p in np.argsort(a, kind="stable").tolist():
+            x, y = place[int(a[p])], place[int(b[p])]
+            if x != before:
+                before, own = x, flat[ends[x] - sizes[x] : ends[x]]
+            other = flat[ends[y] - sizes[y] : ends[y]]
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            common = int((own[at] == other).sum())
+            keep[p] = den * common >= num * (len(own) + len(other) - common)
+        lean()
+        return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
+
+    return run
+
+
+def verified(pairs: DataFrame, blocks: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The stored links (a, b) among pairs (a, b, na, nb): those whose sets are as similar as num/den or more."""
+    pairs = materialise(pairs)
+    pieces = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / PIECE).cast("int").alias("np"))
+    tasks = power_of_two(1 + (pairs.agg(F.sum("nb")).first()[0] or 0) // TASK)
+    dealt = materialise(pairs.join(pieces, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("np"))), F.lit(tasks)).cast("int").alias("g")))
+    need = materialise(dealt.select("g", F.col("a").alias("uid")).union(dealt.select("g", "b")).distinct())
+    sent = sized_join(_texts_of(blocks, need.select("uid").distinct()), need, ["uid"], "inner")
+    with arrow_rows(blocks.sparkSession, PACKED_ROWS * 64):
+        out = materialise(dealt.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(_verify(k, num, den), "a long, b long"))
+    discard(pairs, dealt, need)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each class of linked nodes, by repeated minima and shortcuts."""
-    links = materialise(links)  # which links span a class may differ each time they are computed
+    """(node, comp): the smallest node of each class of linked nodes (a, b, stored), by repeated minima and shortcuts."""
     edges = materialise(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct())
-    label = materialise(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    label = materialise(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp"), F.lit(True).alias("changed")))
     while True:
-        heard = edges.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("m"))
+        heard = edges.join(label.select(F.col("node").alias("y"), "comp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("m"))
         low = label.join(heard, "node").select("node", F.least("comp", "m").alias("low"), "comp")
         up = label.select(F.col("node").alias("low"), F.col("comp").alias("lower"))
-        new = materialise(low.join(up, "low", "left").select("node", F.least(F.col("low"), F.coalesce("lower", "low")).alias("comp"), (F.least(F.col("low"), F.coalesce("lower", "low")) < F.col("comp")).alias("changed")))
-        label = new.select("node", "comp")
+        least = F.least(F.col("low"), F.coalesce("lower", "low"))
+        new = materialise(low.join(up, "low", "left").select("node", least.alias("comp"), (least < F.col("comp")).alias("changed")))
+        discard(label)
+        label = new
         if not new.where("changed").limit(1).count():
-            return label
+            discard(edges)
+            return label.select("node", "comp")
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """Per row of a stored table: uid, doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity num/den or more), first (whether it is that document; one row a class)."""
-    bits = power_of_two(max(16, 8 * scan_partitions(docs))).bit_length() - 1  # so many, as a set has hundreds of signatures
-    blocks = blocks_of(docs, id_col, text_col)
-    facts = materialise(blocks.mapInArrow(_describe(shingle), "uid long, doc_id long, n long, fp long, fq long, sketch binary"))
+# ---------------------------------------------------------------- classes
+
+
+FACTS = "uid long, doc_id long, n long, fp long, fq long, " + ", ".join(f"{c} long" for c in SKETCHES)
+
+
+def classes_of(blocks: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Per row of stored blocks: uid, doc_id, n_shingles, component_id, first."""
+    if not 0 < num <= den:
+        raise ValueError(f"a similarity of {num}/{den} is not in (0, 1]")
+    spark = blocks.sparkSession
+    n_blocks = blocks.count()
+    bits = power_of_two(max(16, n_blocks)).bit_length() - 1  # a set has hundreds of signatures
+    with arrow_rows(spark, PACKED_ROWS):
+        facts = materialise(blocks.mapInArrow(_describe(shingle), FACTS))
+        met = materialise(blocks.mapInArrow(_sign(shingle, num, den, bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct())
     twice = facts.where("n > 0").groupBy("fp", "fq", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
-    rep_of = materialise(sized_join(facts.where("n > 0"), materialise(twice), ["fp", "fq", "n"]).select("uid", F.coalesce("rep", "uid").alias("rep"), "n"))
-    met = materialise(blocks.mapInArrow(_sign(shingle, num, den, bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct())
-    members = materialise(met.join(rep_of, "uid").select("gid", F.col("rep").alias("uid"), "n").distinct())
-    first = members.groupBy("gid").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("gid", "low")
-    stars = members.join(first, "gid").select(F.col("uid").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    groups = components(stars)
-    candidates = materialise(groups.join(rep_of, groups.node == rep_of.uid).select(F.col("comp").alias("sg"), "uid", "n"))
-    candidates = sifted(candidates, facts, num, den)
-    texts = materialise(_texts_of(docs, id_col, text_col, candidates.select("uid")))
-    comp = components(verified(candidates, texts, shingle, num, den))
+    rep_of = materialise(sized_join(facts.where("n > 0"), materialise(twice), ["fp", "fq", "n"]).select("uid", F.coalesce("rep", "uid").alias("rep")))
+    members = materialise(met.join(rep_of, "uid").select("gid", F.col("rep").alias("uid")).distinct())
+    discard(met)
+    groups = materialise(members.groupBy("gid").agg(F.min("uid").alias("lead"), F.count("*").alias("m")).where("m > 1"))
+    star = members.join(groups, "gid").where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
+    links = verified(plausible(star, facts, num, den), blocks, shingle, num, den)
+    label = components(links)
+    rest = across_classes(members, groups, label, facts, num, den)
+    more = verified(plausible(rest, facts, num, den), blocks, shingle, num, den)
+    comp = components(links.union(more))
+    discard(members, groups)
     named = rep_of.join(comp, rep_of.rep == comp.node, "left").select("uid", F.coalesce("comp", "rep").alias("comp"))
     every = materialise(facts.join(named, "uid", "left").select("uid", "doc_id", "n", F.coalesce("comp", "uid").alias("comp")))
+    discard(facts, rep_of, links, more)
     least = every.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("s"), F.count("*").alias("m")).where("m > 1")
     least = materialise(least.select("comp", F.col("s.doc_id").alias("least_id"), F.col("s.uid").alias("least_uid")))
     many = F.col("least_uid").isNotNull()
     return sized_join(every, least, ["comp"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(many, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce(F.col("uid") == F.col("least_uid"), F.lit(True)).alias("first"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of a stored table without those whose class has an earlier document: of each class the smallest id stays."""
-    classes = link_classes(docs, id_col, text_col, shingle, num, den)
-    gone = materialise(classes.where("not first").select("uid"))
-    small = small_enough(gone)
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.uid for r in gone.collect()], np.int64))) if small else None
-    columns = docs.columns
-    if small:
-        # the same scan: blocks number the rows alike, so the mark needs no exchange of texts
-        return _filtered(docs, id_col, text_col, known)
-    marked = _filtered(docs, id_col, text_col, None, with_uid=True)
-    return marked.join(gone, "uid", "left_anti").select(*columns)
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """Per row: uid, doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity num/den or more), first (whether it is that document; one row a class)."""
+    return classes_of(store_blocks(docs, id_col, text_col), shingle, num, den)
 
 
-def _filtered(docs: DataFrame, id_col: str, text_col: str, known, with_uid: bool = False) -> DataFrame:
-    """Numbers the rows of a scan as blocks_of does and drops the known ones."""
-    from .common import BLOCK_BYTES, sized_batches
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows without those whose class has an earlier document: of each class the smallest id stays."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = docs.columns
+    blocks = store_blocks(docs, id_col, text_col, carry=True)
+    classes = classes_of(blocks, shingle, num, den)
+    gone = materialise(classes.where("not first").select("uid"))
+    names, schema = docs.columns, to_arrow_schema(docs.schema)
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 24
-        for k, table in enumerate(sized_batches((pa.RecordBatch.from_arrays([*b.columns, b.column(names.index(text_col))], names=[*(f"c{i}" for i in range(len(names))), "text"]) for b in batches), BLOCK_BYTES)):
-            uid = (np.int64(base + k) << UID_BITS) + np.arange(table.num_rows)
-            table = table.drop_columns(["text"]).rename_columns(names)
-            if with_uid:
-                table = table.add_column(0, "uid", pa.array(uid))
-            elif known is not None:
-                table = table.filter(pa.array(~np.isin(uid, known.value)))
-            yield from table.to_batches(max_chunksize=2000)
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    small_batches(docs)
-    schema = docs.schema if not with_uid else StructType([StructField("uid", LongType()), *docs.schema.fields])
-    return docs.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, dropped in zip(batch["data"].to_pylist(), batch["rows"]):
+                ids, _, offs, buf = open_block(data)
+                others, valid = carried(data), text_valid(data)
+                stay = np.ones(len(ids), bool)
+                if dropped.is_valid:
+                    stay[np.asarray(dropped.values)] = False
+                take = np.flatnonzero(stay)
+                for x in range(0, len(take), 500):
+                    some = pa.array(take[x : x + 500])
+                    texts = pa.array([buf[offs[j] : offs[j + 1]].tobytes() if valid[j] else None for j in take[x : x + 500].tolist()], pa.binary()).cast(pa.string())
+                    own = iter(others.columns)
+                    yield pa.RecordBatch.from_arrays([(texts if c == text_col else next(own).take(some).combine_chunks()).cast(schema.field(c).type) for c in names], schema=schema)
+            lean()
+
+    return with_rows(blocks, gone).select("data", "rows").mapInArrow(run, docs.schema)

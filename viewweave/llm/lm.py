@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, blocks_of, chunked_words, deltas, materialise, mix, open_block, pack, power_of_two, rows, scan_partitions, small_ints, undelta, unpack
+from .common import BLOCK_SCHEMA, PACKED_ROWS, arrow_rows, chunked_words, deltas, materialise, mix, open_block, pack, power_of_two, rows, small_ints, store_blocks, undelta, unpack
 
 END = np.uint64(0x51ED270B1F4B2C35)  # the key of the end token, and of the context before the first word
 BINS, STEP = 4096, 1 / 64  # cells of log(P2 / P0) in the held-out histogram
@@ -231,15 +231,16 @@ def _score(total: int, distinct: int, weights: list[float]):
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on the texts whose crc32(id) mod 5 is not 1 and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = blocks_of(docs, id_col, text_col)
-    n = power_of_two(max(16, 2 * scan_partitions(docs)))
-    bits = n.bit_length() - 1
-    words_reply = materialise(blocks.mapInArrow(_ask_words(bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_words, BLOCK_SCHEMA))
+    blocks = store_blocks(docs, id_col, text_col)
+    bits = power_of_two(max(16, blocks.count() // 4)).bit_length() - 1
+    with arrow_rows(docs.sparkSession, PACKED_ROWS):
+        words_reply = materialise(blocks.mapInArrow(_ask_words(bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_words, BLOCK_SCHEMA))
     sums = _summed(words_reply)
     total, distinct, kept_total, kept_distinct = sums
     to_blocks = words_reply.where("block >= 0")
     asked = blocks.unionByName(to_blocks).groupBy("block").applyInArrow(_ask_pairs(bits), BLOCK_SCHEMA)
-    pairs_reply = materialise(asked.groupBy("part").applyInArrow(_reply_pairs(kept_total, kept_distinct), BLOCK_SCHEMA))
+    with arrow_rows(docs.sparkSession, PACKED_ROWS):
+        pairs_reply = materialise(asked.groupBy("part").applyInArrow(_reply_pairs(kept_total, kept_distinct), BLOCK_SCHEMA))
     weights = _weights(pairs_reply)
     pair_blocks = pairs_reply.where("block >= 0").withColumn("part", (F.col("part") + F.lit(1 << 24)).cast("int"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import bisect
 import unicodedata
-import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, in_chunks, lean, materialise, mix, powers, small_batches
+from .common import TEXT_ROWS, arrow_rows, flat_bytes, in_chunks, lean, materialise, mix, powers
 
+CHUNK_BYTES = 1 << 20  # of text that is tokenized at a time
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -54,12 +55,11 @@ class WordTokens:
     any other text, and any that holds an added token, goes to the tokenizer whole, so results are those of the tokenizer itself.
     """
 
-    LIMIT = 600_000  # distinct pre-tokens kept; beyond it the memory starts anew
+    LIMIT = 400_000  # distinct pre-tokens kept; beyond it the memory starts anew
 
-    def __init__(self, path: str, limit: int = LIMIT):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         # added tokens cross pre-tokens; one that is sought in the normalised text can stand there in other letters
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -76,7 +76,8 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted keys of pre-tokens
+        self.entry = np.zeros(0, np.int32)  # their places in first and size
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.first = np.zeros(1 << 14, np.int64)
@@ -88,7 +89,8 @@ class WordTokens:
     def holds_added(self, text: str) -> bool:
         return any(c in text for c in self.exact) or bool(self.folded) and any(c in text.lower() for c in self.folded)
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Encodes new pre-tokens; keys are sorted."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         more, n = int(size.sum()), len(self.known)
@@ -99,7 +101,9 @@ class WordTokens:
         self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), np.int32, more)
         self.first[n : n + len(found)] = self.used + np.cumsum(size) - size
         self.size[n : n + len(found)] = size
-        self.known.update(zip(keys, range(n, n + len(found))))
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.entry = np.insert(self.entry, at, np.arange(n, n + len(found), dtype=np.int32))
         self.used += more
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +131,14 @@ class WordTokens:
         np.cumsum(self.value[codes] * up[:-1], out=sums[1:])
         keys = mix((sums[b] - sums[a]) * down[a])
         some, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(some) > self.limit:
+        if len(self.known) + len(some) > self.LIMIT:
             self.clear()
-        listed = some.tolist()
-        new = [k for k, key in enumerate(listed) if key not in self.known]
-        if new:
-            self.learn([listed[k] for k in new], [joined[a[at[k]] : b[at[k]]] for k in new])
-        entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[back]
+        new = np.arange(len(some))
+        if len(self.known):
+            new = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)] != some)
+        if len(new):
+            self.learn(some[new], [joined[x:y] for x, y in zip(a[at[new]].tolist(), b[at[new]].tolist())])
+        entry = self.entry[np.searchsorted(self.known, some)][back].astype(np.int64)
         size = self.size[entry] if len(entry) else np.zeros(0, np.int64)
         head = self.first[entry] if len(entry) else np.zeros(0, np.int64)
         total = np.cumsum(size)
@@ -148,27 +153,22 @@ class WordTokens:
         return ids, count
 
 
+@lru_cache(maxsize=1)
 def coder_of(path: str) -> WordTokens:
-    """The Python worker's coder for this file; later tasks of the worker find its pre-tokens known."""
-    held = sys.modules["pyspark"].__dict__.setdefault("_weave_coders", {})
-    if path not in held:
-        held[path] = WordTokens(path)
-    return held[path]
+    """The Python worker's coder for this file; its next tasks find at most WordTokens.LIMIT pre-tokens known."""
+    return WordTokens(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False, retain: bool = True) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, (task, nth): its rank among this task's pieces of that length; ids if asked for.
-
-    retain: whether a Python worker keeps the pre-tokens that it knows (at most WordTokens.LIMIT) for its later tasks.
-    """
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, (task, nth): its rank among this task's pieces of that length; ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, task, seen = coder_of(tokenizer) if retain else WordTokens(tokenizer, 80_000), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        coder, task, seen = coder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offs = flat_bytes(batch["text"])
-            for x, y in in_chunks(offs, 3 << 20 if retain else 3 << 17):
+            for x, y in in_chunks(offs, CHUNK_BYTES):
                 texts = [t or "" for t in batch["text"].slice(x, y - x).to_pylist()]
                 ids, count = coder.encode(texts)
                 total = count + 1
@@ -198,13 +198,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     cols.append(pa.array([whole[h : h + n].astype(np.int32) for h, n in zip(head.tolist(), length.tolist())], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-            if not retain:
-                lean()
-        if not retain:
-            del coder
             lean()
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- the plan
@@ -313,6 +309,8 @@ def pack_pieces(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, retain: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenizes, cuts and packs whole documents: doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset."""
-    return pack_pieces(materialise(token_pieces(docs, tokenizer, id_col, text_col, cap.tokens, with_ids, retain)), cap)
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        pieces = materialise(token_pieces(docs, tokenizer, id_col, text_col, cap.tokens, with_ids))
+    return pack_pieces(pieces, cap)
