@@ -245,14 +245,80 @@ def test_warc(spark, tmp_path):
 
 
 def test_quality(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
     from viewweave.llm.quality import judge
 
     rows = [(i, (f"fine words number {i} " * 20) if i % 4 else (f"BAD!! {i} " * 30)) for i in range(200)] + [(900, None)]
-    table = stored(spark, tmp_path / "q", [(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    table = stored(spark, tmp_path / "q", [(i, t, "s", "en", 1, 2) for i, t in rows], "doc_id long, text string, source string, lang string, verdict int, evidence int")
     labels = stored(spark, tmp_path / "l", [(i, int(i % 4 != 0), 0) for i in range(0, 200, 3)] + [(0, 0, 0), (5555, 1, 1)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in judge(table, labels).where("_keep").collect()}
+    out = judge(table, labels)
+    assert out.columns == [*table.columns, "verdict_"] and {(r.verdict, r.evidence) for r in out.collect()} == {(1, 2)}
+    kept = {r.doc_id for r in out.where(F.col("verdict_").keep).collect()}
     assert {i for i in range(200) if i % 4} <= kept and not {i for i in range(0, 200, 4)} & kept
-    assert judge(table, labels.limit(0)).where("_keep").count() == len(rows)
+    assert judge(table, labels.limit(0)).where(F.col("verdict_").keep).count() == len(rows)
+    assert judge(table.limit(0), labels).count() == 0
+
+
+def test_quality_by_hand(spark, tmp_path):
+    """Evidence, sums of sites without the document itself, strengths and posteriors, computed document by document."""
+    from viewweave.llm.common import words as hashes_of
+    from viewweave.llm.quality import fit, judge, labelled
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        bad = rng.random() < (0.7 if i % 5 == 0 else 0.2)
+        body = " ".join(rng.choice(("spam", "click", "WIN!!") if bad and rng.random() < 0.6 else ("calm", "text", "of", "plain", "words")) for _ in range(rng.randrange(5, 60)))
+        rows.append((i, body, f"h{i % 5}" if i % 11 else None, ("en", "de", None)[i % 3]))
+    rows += [(300, None, "alone", "en"), (301, "", "h1", "en"), (5, rows[5][1], rows[5][2], rows[5][3])]
+    table = stored(spark, tmp_path / "q", rows, "doc_id long, text string, source string, lang string")
+    marks = [(i, int("spam" not in rows[i][1]), int("WIN" in rows[i][1])) for i in range(0, 240, 2)]
+    labels = stored(spark, tmp_path / "l", marks, "doc_id long, quality int, toxic int")
+    heads = fit(table, labelled(labels))
+    good_label = {i: float(q == 1 and t == 0) for i, q, t in marks}
+
+    def hash_of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(hashes_of(raw, np.array([0, len(raw)]))[0][0])
+
+    def evidence(text):
+        w, b = words(text), (text or "").encode()
+        n, m = max(1, len(b)), max(1, len(w))
+        share = lambda chars: sum(x in chars for x in b) / n
+        shape = [math.log1p(len(b)) / 10, share(b"!#$%&*@^~"), share(range(65, 91)), share(b"|"), share(range(48, 58)), len(set(w)) / m, sum(x == y for x, y in zip(w, w[1:])) / m]
+        fine = 0.0
+        for h in heads:
+            weight = dict(zip(h.words.tolist(), h.weights.tolist()))
+            z = h.bias + sum((x - a) / s * c for x, a, s, c in zip(shape, h.shape_mean, h.shape_scale, h.shape_weights)) + sum(weight.get(hash_of(x), 0.0) for x in set(w))
+            fine -= math.log1p(math.exp(z))
+        fine = min(max(fine, -30), -1e-13)
+        return fine - math.log(-math.expm1(fine))
+
+    ev = [evidence(t) for _, t, _, _ in rows]
+    p = [good_label.get(i, 1 / (1 + math.exp(-e))) for (i, *_), e in zip(rows, ev)]
+    sums = defaultdict(lambda: [0, 0.0])
+    for (_, _, h, la), x in zip(rows, p):
+        for key in ((h,), (h, la)):
+            sums[key][0] += 1
+            sums[key][1] += x
+    mean = sum(p) / len(p)
+
+    def prior(depth):
+        own = [v for k, v in sums.items() if len(k) == depth]
+        n = sum(v[0] for v in own)
+        between = (sum(s * s / c for c, s in own) - n * mean * mean - (len(own) - 1) * mean * (1 - mean)) / (n - sum(c * c for c, _ in own) / n)
+        return min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 1e-9 else 1e6
+
+    a, b = prior(1), prior(2)
+    want = Counter()
+    for (i, _, h, la), e, x in zip(rows, ev, p):
+        host = (sums[h,][1] - x + a * mean) / (sums[h,][0] - 1 + a)
+        path = (sums[h, la][1] - x + b * host) / (sums[h, la][0] - 1 + b)
+        z = e + 0.5 * (math.log(path / (1 - path)) - math.log(mean / (1 - mean)))
+        want[i, round(e, 6), round(host, 6), round(path, 6), round(1 / (1 + math.exp(-z)), 6), z >= 0] += 1
+    got = Counter((r.doc_id, *(round(r.verdict[k], 6) for k in range(4)), r.verdict.keep) for r in judge(table, labels).collect())
+    assert got == want and len({k for k in sums if len(k) == 2}) > 10
 
 
 def test_empty_tables(none, spark, tmp_path):

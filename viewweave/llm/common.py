@@ -86,6 +86,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as make it none of the taken names (case counts for nothing)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def power_of_two(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
 

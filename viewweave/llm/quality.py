@@ -3,15 +3,18 @@
 A document's own evidence comes from two logistic heads (low quality, toxic) over words chosen by a binomial test and a few
 shape features, fitted on at most MAX_TRAIN labelled documents. Grouped aggregation then gives each host (source) and each
 path (source and language) a posterior share of good documents: a path shrinks to its host, a host to the global prior, by
-strengths from the spread between sites (method of moments). The posterior of a document adds its site's shift in log-odds.
+strengths from the spread between sites (method of moments). A site's documents count by their label, those without one by their
+evidence. The posterior of a document adds the shift in log-odds of its site, from which its own count is left out, so that
+no document speaks for itself twice.
 
-Scale: scoring is one pass over whole texts; sites are partial sums of narrow rows. The site table is broadcast only when
-counted, else joined with salted keys. Only the bounded sample's features and the fitted words reach the driver.
+Scale: whole texts are read and scored once, and the narrow evidence is stored; sites are partial sums of narrow rows. The
+site table is broadcast only when counted; else adaptive execution splits skewed sites in a sort-merge join (one row a site on its
+other side). Only the bounded sample's features and the fitted words reach the driver.
 
 Cases: null and empty texts have shape features of zero and are judged by them and their site; null hosts or paths are sites
 of their own; repeated labels of an id count as the worst of them; labels without documents count for nothing; without any
-labels every document is kept; rows with the same id are judged alone; an empty table gives an empty result; all columns of docs
-are kept under their names, whatever they are.
+labels every document is kept; rows with the same id are judged alone; the only document of a site has the prior's posterior; an empty
+table gives an empty result; all columns of docs are kept under their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunked_words, flat_bytes, in_chunks, lean, materialise, sized_join
+from .common import TEXT_ROWS, arrow_rows, chunked_words, flat_bytes, fresh, in_chunks, lean, materialise, sized_join
 
 #: Labelled documents that the heads are fitted on, those of the smallest hashes of their ids: the bound of the sample.
 MAX_TRAIN = 12_000
@@ -124,10 +127,14 @@ def _features(texts: pa.Array):
         yield a, b, _shapes(buf, offs, h, c), *_distinct(h, np.repeat(np.arange(b - a), c))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> list[Head]:
-    """The heads for low quality and for toxic; none without labels."""
-    worst = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    sample = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+def labelled(labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """At most max_train rows (doc_id, quality, toxic), one an id, those of the smallest hashes of ids."""
+    worst = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    return worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+
+
+def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Head]:
+    """The heads for low quality and for toxic, from the documents of labelled(); none without them."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_train rows
 
     def run(batches):
@@ -148,10 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return [fit_head(shapes, hashes, owner, low, True), fit_head(shapes, hashes, owner, toxic, False)]
 
 
-def with_evidence(docs: DataFrame, heads: list[Head], text_col: str = "text", name: str = "_evidence") -> DataFrame:
+def with_evidence(docs: DataFrame, heads: list[Head], text_col: str, name: str, keep_text: bool) -> DataFrame:
     """Adds the log-odds that a document is good: neither of low quality nor toxic. A head has at most MAX_WORDS words."""
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
+    fields = [f for k, f in enumerate(docs.schema.fields) if keep_text or k != at]
 
     def run(batches):
         for batch in batches:
@@ -163,47 +170,61 @@ def with_evidence(docs: DataFrame, heads: list[Head], text_col: str = "text", na
                         fine -= np.logaddexp(0, head.logit(shapes, h, o))  # log P(not bad)
                     fine = np.clip(fine, -30, -1e-13)
                     good[a:b] = fine - np.log(-np.expm1(fine))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good)], names=[*names, name])
+            columns = [c for k, c in enumerate(batch.columns) if keep_text or k != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(good)], names=[*(f.name for f in fields), name])
         lean()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
+
+
+def strength(n: float, s: float, k: int, ss: float, nn: float) -> float:
+    """Pseudo-counts of the prior over k sites: m (1 - m) over the variance between sites, beyond what sampling explains.
+
+    n and s are the sums of documents and of good ones; ss is the sum of s^2 / n over sites, nn that of n^2.
+    """
+    m = min(max(s / n, 1e-4), 1 - 1e-4)
+    spread = n - nn / n
+    between = ((ss - n * m * m) - (k - 1) * m * (1 - m)) / spread if spread > 0 else 0.0
+    return float(min(1e6, max(1.0, m * (1 - m) / between - 1))) if between > 1e-9 else 1e6
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """Per (_host, _path): n, host_posterior, path_posterior and the shift in log-odds, from narrow rows (_host, _path, _p)."""
-    paths = materialise(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("s")))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    top = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("k"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("ss"), F.sum(F.col("hn") * F.col("hn")).alias("nn")).first()
+def site_sums(counted: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """Stored sums (host, path, n, s, hn, hs) of rows (host, path, p), the global share of good documents, and the strengths of the priors of hosts and of paths."""
+    paths = materialise(counted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    spread = lambda n, s: (F.sum(n).alias("n"), F.sum(s).alias("s"), F.count("*").alias("k"), F.sum(F.col(s) * F.col(s) / F.col(n)).alias("ss"), F.sum(F.col(n) * F.col(n)).alias("nn"))
+    top, low = hosts.agg(*spread("hn", "hs")).first(), paths.agg(*spread("n", "s")).first()
+    both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     if not top.n:
-        return paths.select("_host", "_path", "n", F.lit(0.5).alias("host_posterior"), F.lit(0.5).alias("path_posterior"), F.lit(0.0).alias("_shift"))
-    mean = min(max(top.s / top.n, 1e-4), 1 - 1e-4)
-
-    def strength(n: float, s: float, k: int, ss: float, nn: float) -> float:
-        """Pseudo-counts of the prior: m (1 - m) over the variance between sites, beyond what sampling explains."""
-        m = min(max(s / n, 1e-4), 1 - 1e-4)
-        spread = n - nn / n
-        between = ((ss - n * m * m) - (k - 1) * m * (1 - m)) / spread if spread > 0 else 0.0
-        return float(min(1e6, max(1.0, m * (1 - m) / between - 1))) if between > 1e-9 else 1e6
-
-    a = strength(top.n, top.s, top.k, top.ss, top.nn)
-    low = paths.agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    b = strength(top.n, top.s, low.k, low.ss, low.nn)
-    host = hosts.select(F.col("_host").alias("_h"), ((F.col("hs") + a * mean) / (F.col("hn") + a)).alias("host_posterior"))
-    both = paths.join(host, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
-    both = both.withColumn("path_posterior", (F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b))
-    logit = lambda p: F.log(p / (1 - p))
-    safe = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return both.select("_host", "_path", "n", "host_posterior", "path_posterior", (logit(safe) - F.lit(float(np.log(mean / (1 - mean))))).alias("_shift"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """All columns of docs (a stored table) and _evidence, _host_posterior, _path_posterior, _posterior, _keep."""
-    heads = fit(docs, labels, id_col, text_col)
-    key = F.struct(F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
-    narrow = docs.select(F.col(host_col).cast("string").alias("_host"), F.col(path_col).cast("string").alias("_path"), F.col(text_col).cast("string").alias("text"))
-    scored = with_evidence(narrow, heads).select("_host", "_path", (1 / (1 + F.exp(-F.col("_evidence")))).alias("_p"))
-    sites = materialise(site_posteriors(scored).select(F.struct(F.col("_host").alias("host"), F.col("_path").alias("path")).alias("_site"), F.col("host_posterior").alias("_host_posterior"), F.col("path_posterior").alias("_path_posterior"), "_shift"))
-    all_scored = with_evidence(docs, heads, text_col).withColumn("_site", key)
-    joined = sized_join(all_scored, sites, ["_site"])
-    posterior = 1 / (1 + F.exp(-(F.col("_evidence") + F.lit(site_weight) * F.coalesce("_shift", F.lit(0.0)))))
-    return joined.withColumn("_posterior", posterior).withColumn("_keep", F.col("_posterior") >= threshold).select(*docs.columns, "_evidence", "_host_posterior", "_path_posterior", "_posterior", "_keep")
+        return both, 0.5, 1.0, 1.0
+    return both, min(max(top.s / top.n, 1e-4), 1 - 1e-4), strength(*top), strength(*low)
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", site_weight: float = 0.5, threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """All columns of docs (the text only if asked for) and, as the last one, a struct: evidence, host_posterior, path_posterior, posterior, keep.
+
+    It is called verdict, or, where docs has that name, verdict with underscores behind it.
+    """
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    evidence, site, own, verdict = (fresh(x, docs.columns) for x in ("evidence", "site", "own", "verdict"))
+    sample = materialise(labelled(labels))
+    heads = fit(docs, sample, id_col, text_col)
+    known = sample.select(F.col("doc_id").alias(f"{own}_id"), F.when(F.coalesce("quality", F.lit(1)) < 1, 0.0).when(F.coalesce("toxic", F.lit(0)) > 0, 0.0).otherwise(1.0).alias(f"{own}_label"))
+    # all rows carry what their sites are to leave out again
+    id_of = docs[f"`{id_col}`"].cast("long") if keep_text or id_col != text_col else F.lit(None)
+    carried = docs.select("*", id_of.alias(f"{own}_key"), F.struct(F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")).alias(site))
+    scored = with_evidence(carried, heads, text_col, evidence, keep_text).join(F.broadcast(known), F.col(f"{own}_key") == F.col(f"{own}_id"), "left")  # at most MAX_TRAIN rows
+    p = F.coalesce(F.col(f"{own}_label"), 1 / (1 + F.exp(-F.col(evidence)))) if heads else F.lit(1.0)
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        scored = materialise(scored.select(*(F.col(f"`{c}`") for c in names), site, evidence, p.alias(own)))
+    sums, mean, a, b = site_sums(scored.select(F.col(f"{site}.host").alias("host"), F.col(f"{site}.path").alias("path"), F.col(own).alias("p")))
+    sums = materialise(sums.select(F.struct("host", "path").alias(site), F.struct("n", "s", "hn", "hs").alias(f"{own}_sums")))
+    joined = sized_join(scored, sums, [site])
+    of = lambda c: F.col(f"{own}_sums.{c}")
+    host = (of("hs") - F.col(own) + a * mean) / (of("hn") - 1 + a)
+    path = (of("s") - F.col(own) + b * host) / (of("n") - 1 + b)
+    safe = F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6))
+    shift = F.log(safe / (1 - safe)) - F.lit(float(np.log(mean / (1 - mean))))
+    posterior = 1 / (1 + F.exp(-(F.col(evidence) + F.lit(site_weight if heads else 0.0) * shift)))
+    found = F.struct(F.col(evidence).alias("evidence"), host.alias("host_posterior"), path.alias("path_posterior"), posterior.alias("posterior"), (posterior >= threshold).alias("keep"))
+    return joined.select(*(F.col(f"`{c}`") for c in names), found.alias(verdict))

@@ -39,8 +39,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    judged = judge(docs, _table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior", "keep")))
+    return judge(docs, _table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "source", "lang", "verdict.*")
 
 
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
