@@ -74,7 +74,7 @@ def classes(rows, k, num, den):
     return Counter((i, len(sets[a]), min(low[find(a)], default=None)) for a, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 8, 10), (2, 6, 10)])
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 8, 10), (2, 4, 10)])
 def test_jaccard(docs, k, num, den):
     from viewweave.llm.jaccard import keep_one, link_classes
 
@@ -84,6 +84,30 @@ def test_jaccard(docs, k, num, den):
     assert kept.columns == docs.columns and kept.count() <= docs.count()
 
 
+def test_jaccard_low_thresholds_tiles_and_stars(spark, tmp_path, monkeypatch):
+    """Nested sets at 2/10, chains whose ends differ, a large cluster of near copies, and groups cut in tiles."""
+    import viewweave.llm.jaccard as jaccard
+
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(1300)]
+    rows = [(1, " ".join(base[:302])), (2, " ".join(base[:1302]))]
+    chain = [f"c{k}" for k in range(120)]
+    for i in range(9):  # each like the one before, the first unlike the last
+        chain[i * 6 : i * 6 + 6] = [f"n{i}x{j}" for j in range(6)]
+        rows.append((10 + i, " ".join(chain)))
+    body = [f"b{k}" for k in range(150)]
+    for i in range(60):
+        t = list(body)
+        t[rng.randrange(150)] = f"v{i}"
+        rows.append((100 + i, " ".join(t)))
+    rows += [(300 + i, " ".join(body[:40] + [f"o{i}x{j}" for j in range(60)])) for i in range(40)]
+    table = stored(spark, tmp_path / "d", rows, "doc_id long, text string")
+    for tile, num, den in ((8192, 2, 10), (8, 8, 10)):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_classes(table, shingle=3, num=num, den=den).collect())
+        assert got == classes(rows, 3, num, den)
+
+
 def test_repeats(docs):
     from viewweave.llm.dedup import cut_texts, remove_repeats
 
@@ -193,19 +217,99 @@ def test_chat(spark, tmp_path):
         assert (g.n_turns, g.loss_chars, g.loss_sha256) == (len(own), len(said), hashlib.sha256(said.encode()).hexdigest())
         assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
     assert got[1].valid and not got[2].valid and not got[3].valid
+    assert digests(read_back(format_conversations(table.limit(0)))).count() == 0
 
 
-def test_mixing(docs):
-    from pyspark.sql import functions as F
+def test_chat_query_and_spans(spark, tmp_path):
+    """The registered query's conversation -1, and loss spans that cut each assistant text out of a long conversation."""
+    from viewweave.llm.chat import format_conversations, read_back
+    from viewweave.llm.queries import QUERIES
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"[{i}] <x>~ " * (i % 7)) for i in range(3000)]
+    stored(spark, tmp_path / "conversations.parquet", rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in QUERIES["op8_chat_formatting"](spark, str(tmp_path)).collect()}
+    said = "</s>[INST] ok [/INST]"
+    assert set(got) == {1, -1} and (got[-1].n_turns, got[-1].loss_chars, got[-1].valid) == (2, len(said), True)
+    assert got[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    one = read_back(format_conversations(spark.read.parquet(str(tmp_path / "conversations.parquet")))).first()
+    assert one.loss_text == "".join(t for _, _, r, t in rows if r == "assistant")
+    assert "".join(s.text for s in one.segments) == one.formatted and [t.text for t in one.turns] == [t for *_, t in rows]
 
+
+def test_mixing(docs):
     from viewweave.llm.mixing import mix_sources
 
-    out = mix_sources(docs, {"all/en": 3.0}, fraction=0.5, max_epochs=2).withColumn("n", F.size(F.expr("regexp_extract_all(coalesce(text, ''), '[^ \\\\t\\\\n]+', 0)")))
+    out = mix_sources(docs, {"all/en": 3.0}, fraction=0.5, max_epochs=2)
     total = sum(len(words(t)) for _, t in corpus())
-    assert 0 < out.agg(F.sum("n")).first()[0] <= total * 0.5 + 1
+    assert out.columns == [*docs.columns, "mix"] and 0 < sum(len(words(r.text)) for r in out.collect()) <= total * 0.5 + 1
     assert mix_sources(docs, fraction=1.0, max_epochs=1).count() >= len(corpus()) - 4
 
 
+def sequential_budgets(caps, weight_of, total):
+    """Water filling by turns: children that their share fills leave the rest to the others, level by level."""
+
+    def fill(own, path, budget):
+        children = {k: sum(c for leaf, c in own.items() if leaf[: len(path) + 1] == k) for k in {leaf[: len(path) + 1] for leaf in own}}
+        children = {k: c for k, c in children.items() if c > 0 and weight_of(k) > 0}
+        got, todo, left = {}, dict(children), budget
+        while todo:
+            share = {k: left * weight_of(k) / sum(map(weight_of, todo)) for k in todo}
+            full = [k for k in todo if share[k] >= todo[k]]
+            if not full:
+                got |= share
+                break
+            for k in full:
+                got[k] = todo.pop(k)
+                left -= got[k]
+        if len(path) == 2:
+            return got
+        return {k: v for child, b in got.items() for k, v in fill({x: c for x, c in own.items() if x[: len(child)] == child}, child, b).items()}
+
+    return fill(caps, (), total)
+
+
+@pytest.mark.parametrize("fraction,max_epochs", [(0.3, 1), (0.8, 2), (1.7, 2), (1.0, 1)])
+def test_mixing_by_hand(spark, tmp_path, fraction, max_epochs):
+    """Budgets and prefixes from a sequential allocator; children of equal cap and weight, null keys, repeated and null ids, clashing names."""
+    from pyspark.sql import functions as F
+
+    from viewweave.llm.mixing import mix_sources
+
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(0, 40), rng.choice(("en", "de", None)), f"s{rng.randrange(5)}", 7, 8) for i in range(400)]
+    rows += [(1000 + i, 10, "xx", f"t{i % 4}", 7, 8) for i in range(40)] + [(None, 5, "en", "s1", 7, 8), (3, 6, "en", "s1", 7, 8), (3, 6, "en", "s1", 7, 8), (2000, 0, "en", "none", 7, 8), (2001, None, "en", None, 7, 8)]
+    table = stored(spark, tmp_path / "m", rows, "doc_id long, n long, lang string, source string, leaf int, mix int")
+    dom = lambda s: "a" if s in ("s0", "s1", "t0", "t1") else "b"
+    weights = {"a": 2.0, "b/en": 4.0, "a/de/s0": 0.5, "b/null": 0.0}
+    domain = F.when(F.col("source").isin("s0", "s1", "t0", "t1"), "a").otherwise("b")
+    out = mix_sources(table, weights, fraction=fraction, max_epochs=max_epochs, domain=domain, tokens=F.col("n"))
+    assert out.columns == [*table.columns, "mix_"]
+    got = Counter((r.doc_id, r.n, r.lang, r.source, r.mix_.domain, r.mix_.epoch) for r in out.collect())
+    leaves = defaultdict(list)
+    for r in rows:
+        leaves[dom(r[3]), r[2], r[3]].append(r)
+    supply = {k: sum(r[1] or 0 for r in own) for k, own in leaves.items()}
+    caps = {k: float(s * max_epochs) for k, s in supply.items()}
+    budgets = sequential_budgets(caps, lambda k: weights.get("/".join(x or "null" for x in k), 1.0), min(sum(caps.values()), sum(supply.values()) * fraction))
+    want = Counter()
+    for k, b in budgets.items():
+        full = int(b / supply[k] + 1e-9)
+        for e in range(full):
+            want.update((r[0], r[1], r[2], r[3], k[0], e) for r in leaves[k])
+        if full < max_epochs:
+            left = int(b - full * supply[k] + 1e-6)
+            by_place = defaultdict(list)
+            for r in leaves[k]:
+                by_place[hashlib.md5(f"17:{full}:{'' if r[0] is None else r[0]}".encode()).hexdigest()].append(r)
+            for place in sorted(by_place):
+                left -= sum(r[1] or 0 for r in by_place[place])
+                if left < 0:
+                    break
+                want.update((r[0], r[1], r[2], r[3], k[0], full) for r in by_place[place])
+    assert got == want
+
+
 def test_neighbours(spark, tmp_path):
     from pyspark.sql import functions as F
 

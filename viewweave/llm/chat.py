@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,29 +55,24 @@ def final_state(roles: Column, template: Template) -> Column:
 
 
 def format_conversations(rows: DataFrame, template: Template = Template(), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: conv_id, n_turns, valid, segments (text, loss), formatted, and loss_spans (start, length) in characters."""
-    own = rows.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"))
-    turns = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    """Per conversation: conv_id, n_turns, valid, segments (text, loss), formatted, and loss_spans (start, length) in characters.
+
+    A turn's start is a running sum over its conversation, so work is linear in turns; the sum and the gathering share one exchange.
+    """
+    own = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("head", F.concat(F.lit(template.open_role), escape(F.col("role"), template), F.lit(template.close_role))).withColumn("body", escape(F.col("text"), template))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    width = F.char_length("head") + F.char_length("body") + F.lit(len(template.end_turn))
+    own = own.withColumn("start", F.lit(len(template.start)) + F.coalesce(F.sum(width).over(before), F.lit(0)))
+    turns = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "role", "head", "body"))).alias("turns"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     off = F.lit(False)
-    parts = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(
-                segment(F.concat(F.lit(template.open_role), escape(t.role, template), F.lit(template.close_role)), off),
-                segment(escape(t.text, template), t.role.isin(*template.loss_roles)),
-                segment(F.lit(template.end_turn), off),
-            ),
-        )
-    )
+    spoken = lambda t: t.role.isin(*template.loss_roles)
+    parts = F.flatten(F.transform("turns", lambda t: F.array(segment(t.head, off), segment(t.body, spoken(t)), segment(F.lit(template.end_turn), off))))
     state = final_state(F.transform("turns", lambda t: t.role), template)
-    made = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.coalesce(state.isin(*template.last_states), off).alias("valid"), F.concat(F.array(segment(F.lit(template.start), off)), parts).alias("segments"))
-    # each segment's start is the sum of the lengths before it; sums are kept as an array that grows once, not quadratically in text
-    lengths = F.transform("segments", lambda s: F.char_length(s.text))
-    with_text = made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s.text), "")).withColumn("lengths", lengths)
-    ends = F.aggregate("lengths", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, n: F.struct((a.at + n).alias("at"), F.concat(a.starts, F.array(a.at)).alias("starts")), lambda a: a.starts)
-    spans = F.transform(F.filter(F.arrays_zip("segments", "starts", "lengths"), lambda z: z.segments.loss), lambda z: F.struct(z.starts.alias("start"), z.lengths.alias("length")))
-    return with_text.withColumn("starts", ends).withColumn("loss_spans", spans).drop("lengths", "starts")
+    whole = F.concat(F.lit(template.start), F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(template.end_turn))), ""))
+    spans = F.transform(F.filter("turns", spoken), lambda t: F.struct((t.start + F.char_length(t["head"])).cast("int").alias("start"), F.char_length(t.body).alias("length")))
+    return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.coalesce(state.isin(*template.last_states), off).alias("valid"), F.concat(F.array(segment(F.lit(template.start), off)), parts).alias("segments"), whole.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
