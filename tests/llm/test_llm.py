@@ -331,6 +331,54 @@ def test_neighbours(spark, tmp_path):
     assert hits >= 0.9 * 5 * len(got) and set(got) == {i for i in ok if i % 50 == 0}
 
 
+def brute_force(vectors, queries, k=5):
+    """Per query its nearest by cosine, ties to smaller ids; vectors are scaled by their largest component."""
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids], float)
+    x /= np.abs(x).max(1)[:, None]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids = np.array(ids)
+    return {q: [int(ids[j]) for j in np.lexsort((ids, -(x @ x[np.flatnonzero(ids == q)[0]]))) if ids[j] != q][:k] for q in queries}
+
+
+def test_neighbours_in_many_cells(spark, tmp_path, monkeypatch):
+    """Recall and the share of rows that the stopping test lets be verified, over several cells, slices and groups of queries."""
+    from pyspark.sql import functions as F
+
+    import viewweave.llm.ann as ann
+
+    for name, value in (("CELL_ROWS", 400), ("SLICE", 300), ("GROUP", 25), ("SAMPLE", 1000)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 32)) * 2
+    for spread in (0.5, 4.0):
+        vectors = {i: centres[i % 40] + spread * rng.standard_normal(32) for i in range(4000)}
+        table = stored(spark, tmp_path / f"v{spread}", [(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+        got, cost = defaultdict(list), {}
+        for r in sorted(ann.nearest(table, F.col("vec_id") % 50 == 0, with_cost=True).collect()):
+            got[r.query_id].append(r.vec_id)
+            cost[r.query_id] = r.verified
+        want = brute_force(vectors, range(0, 4000, 50))
+        recall = sum(len(set(got[q]) & set(own)) for q, own in want.items()) / (5 * len(want))
+        share = sum(cost.values()) / len(want) / 4000
+        assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+        assert recall >= 0.9 and share < (0.2 if spread < 1 else 0.7), (spread, recall, share)
+
+
+def test_neighbours_of_any_scale_and_ties(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from viewweave.llm.ann import nearest
+
+    rows = [(0, [1.0, 2.0, 0.0]), (1, [1e-200, 2e-200, 0.0]), (2, [1e200, 2e200, 0.0]), (3, [5e-324, 1e-323, 0.0]), (4, [2.0, 1.0, 0.0]), (5, [2.0, 1.0, 0.0]), (6, [-1.0, -2.0, 0.0]), (7, [1.0, 2.0, float("inf")]), (None, [1.0, 2.0, 0.0])]
+    table = stored(spark, tmp_path / "v", rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in nearest(table, F.col("vec_id").isin(0, 4)).collect())
+    assert got[:5] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (0, 4, 4, 0.8), (0, 5, 5, 0.8)]
+    # the cosines of 0 to 3 with 4 may differ in their last bit
+    assert got[5] == (4, 1, 5, 1.0) and {x[2:] for x in got[6:]} == {(i, 0.8) for i in range(4)}
+    assert nearest(table.limit(0), F.col("vec_id") == 0).count() == 0 and nearest(table.where("vec_id = 7"), F.lit(True)).count() == 0
+
+
 def test_warc(spark, tmp_path):
     from viewweave.llm.warc import archive_and_read, export_segments, url_key, write_segments
 
