@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import TEXT_ROWS, arrow_rows, lean, materialise
 
 DIMENSIONS = 24  # of the projection; even, for the closed form of the chi-square distribution
-CONFIDENCE = 0.95
+CONFIDENCE = 0.9
 SAMPLE, SAMPLE_BYTES = 16_384, 16 << 20
 CELLS, CELL_ROWS = 1024, 4096  # at most so many cells, of so many rows while there are fewer
 SLICE, GROUP = 8192, 2000
