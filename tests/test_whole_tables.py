@@ -63,7 +63,8 @@ def test_pairs_of_all_frames(spark, events):
     got = Counter((r.frame_id, r.object_id, r.sx, r.rx) for r in QUERIES["q_same_id_join"](spark, at).collect())
     assert got == Counter((i // 16, i // 4, px[i], px[i + 1]) for i in range(0, N, 4))
     n = N // 16  # a frame has four objects in each camera: 4 pairs that are the same, 12 that are not
-    whole = {(a, b, same): each * n for a, b in (("c001", "c002"), ("c002", "c004")) for same, each in ((True, 4), (False, 12))}
+    cameras = ["c001", "c002", "c003", "c004"]
+    whole = {(a, b, same): each * n for k, b in enumerate(cameras) for a in cameras[:k] for same, each in ((True, 4), (False, 12))}
     assert {(r.src, r.ref, r.same): r.n for r in QUERIES["q_same_diff"](spark, at).collect()} == whole
     from pyspark.sql import functions as F
 

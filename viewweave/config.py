@@ -34,6 +34,9 @@ class BinSize:
 class ProposalSettings:
     """Background subtraction, box filters, consolidation and splitting."""
 
+    background: str = "mixture"  # or "average"
+    variance_threshold: float = 60.0
+    shadows: bool = True
     warmup_frames: int = 300
     learning_rate: float = 0.001
     warmup_learning_rate: float = 0.01
@@ -47,6 +50,7 @@ class ProposalSettings:
     merge_gap_x: int = 12
     merge_overlap: float = 0.7
     merge_bottom: int = 12
+    split_by_q90: bool = False
     split_gamma_width: float = 1.6
     split_gamma_height: float = 1.8
     split_gamma_area: float = 2.0

@@ -10,13 +10,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SCALE, BinSize, ProposalSettings
 from ..functions.geometry import launch_plan
 from ..schemas import BBOX, DETECTIONS, FRAMES
 from . import images as im
+from .matching import counted_broadcast
 
 Model = Callable[[np.ndarray], np.ndarray]
 Detector = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -54,33 +55,80 @@ def sharpness(views: DataFrame, frames: DataFrame) -> DataFrame:
     return met.mapInArrow(run, schema + ", sharpness double")
 
 
-PROPOSED = f"proposal_id string, camera_id string, frame_id bigint, bbox {BBOX}, score double, tag string"
+FOREGROUND = "camera_id string, frame_id bigint, seen bigint, warm boolean, pixels bigint"
 
 
-def propose_camera(frames, s: ProposalSettings, state: tuple[int, np.ndarray | None] = (0, None)) -> tuple[list[dict], tuple[int, np.ndarray | None]]:
-    """Proposals of one camera's frames in order, from and to a state (frames seen, background)."""
+def foreground_camera(frames, s: ProposalSettings, state: tuple = (0, None)) -> tuple[list[dict], tuple]:
+    """One camera's frames in order, from and to a state: how many it had before, whether it still warms up, and its foreground pixels."""
     seen, model = state
     out = []
     for row in frames:
-        grey = im.to_grey(unpack(row))
         warm = seen < s.warmup_frames
-        mask, model = im.subtract(grey, model, s.warmup_learning_rate if warm else s.learning_rate, s.difference)
+        mask, model = im.foreground(im.to_grey(unpack(row)), model, s.warmup_learning_rate if warm else s.learning_rate, s)
+        out.append({"camera_id": row["camera_id"], "frame_id": row["frame_id"], "seen": seen, "warm": warm, "pixels": int(mask.sum())})
+        seen += 1
+    return out, (seen, model)
+
+
+def foreground_counts(frames: DataFrame, s: ProposalSettings = ProposalSettings()) -> DataFrame:
+    """foreground_camera() over a batch of frames, a camera a run."""
+    kinds = pa.schema([("camera_id", pa.string()), ("frame_id", pa.int64()), ("seen", pa.int64()), ("warm", pa.bool_()), ("pixels", pa.int64())])
+
+    def run(batches):
+        state, camera = (0, None), None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row["camera_id"] != camera:
+                    camera, state = row["camera_id"], (0, None)
+                found, state = foreground_camera([row], s, state)
+                out += found
+            yield from pa.Table.from_pylist(out, kinds).to_batches()
+
+    own = frames.select(*(c.split()[0] for c in FRAMES.split(", ")))
+    return own.repartition("camera_id").sortWithinPartitions("camera_id", "frame_id").mapInArrow(run, FOREGROUND)
+
+
+SPLITS = "array<struct<axis:string,status:string>>"
+PROPOSED = f"proposal_id string, camera_id string, frame_id bigint, bbox {BBOX}, score double, tag string, splits {SPLITS}"
+PRIORS = "array<struct<bin_size:int,median_w:double,median_h:double,median_a:double,q90_w:double,q90_h:double,q90_a:double>>"
+
+
+def propose_camera(frames, s: ProposalSettings, state: tuple = (0, None)) -> tuple[list[dict], tuple]:
+    """Proposals of one camera's frames in order, from and to a state (frames seen, background model); a frame may carry priors."""
+    seen, model = state
+    out = []
+    for row in frames:
+        warm = seen < s.warmup_frames
+        mask, model = im.foreground(im.to_grey(unpack(row)), model, s.warmup_learning_rate if warm else s.learning_rate, s)
         seen += 1
         if warm:
             continue
-        for k, ((x, y, w, h), tag) in enumerate(im.detect(mask, s)):
-            out.append({"proposal_id": f"{row['camera_id']}_f{row['frame_id']:06d}_p{k:04d}", "camera_id": row["camera_id"], "frame_id": row["frame_id"], "bbox": {"x": x, "y": y, "w": w, "h": h}, "score": float(w * h), "tag": tag})
+        events: list[list[tuple[str, str]]] = []
+        for k, ((x, y, w, h), tag) in enumerate(im.detect(mask, s, row.get("priors"), events)):
+            out.append({"proposal_id": f"{row['camera_id']}_f{row['frame_id']:06d}_p{k:04d}", "camera_id": row["camera_id"], "frame_id": row["frame_id"], "bbox": {"x": x, "y": y, "w": w, "h": h}, "score": float(w * h), "tag": tag, "splits": [{"axis": a, "status": t} for a, t in events[k]]})
     return out, (seen, model)
 
 
-PROPOSED_ARROW = pa.schema([("proposal_id", pa.string()), ("camera_id", pa.string()), ("frame_id", pa.int64()), ("bbox", pa.struct([(k, pa.int32()) for k in "xywh"])), ("score", pa.float64()), ("tag", pa.string())])
+PROPOSED_ARROW = pa.schema([("proposal_id", pa.string()), ("camera_id", pa.string()), ("frame_id", pa.int64()), ("bbox", pa.struct([(k, pa.int32()) for k in "xywh"])), ("score", pa.float64()), ("tag", pa.string()), ("splits", pa.list_(pa.struct([("axis", pa.string()), ("status", pa.string())])))])
+
 
+def with_priors(frames: DataFrame, priors: DataFrame, bin_size: int = 20) -> DataFrame:
+    """Adds each camera's size priors (of calibration.size_priors: a row a band of rows) as an array from the top; cameras without have null."""
+    fields = [F.col(f"{k}_{c}").cast("double").alias(f"{k}_{c}") for k in ("median", "q90") for c in "wha"]
+    bands = F.transform(F.array_sort(F.collect_list(F.struct("y_bin", F.struct(F.lit(bin_size).alias("bin_size"), *fields).alias("p")))), lambda x: x.p)
+    per = priors.groupBy("camera_id").agg(bands.cast(PRIORS).alias("priors"))
+    return frames.join(counted_broadcast(per), "camera_id", "left")
 
-def propose(frames: DataFrame, s: ProposalSettings = ProposalSettings()) -> DataFrame:
-    """Batch proposals: each camera's frames stream in order through one grouped function, a batch of frames in memory at a time."""
+
+def propose(frames: DataFrame, s: ProposalSettings = ProposalSettings(), priors: DataFrame | None = None) -> DataFrame:
+    """Batch proposals: each camera's frames stream in order through one grouped function, a batch of frames in memory at a time.
+
+    A background model depends on all frames before, so a camera is one sequential run; cameras run side by side.
+    """
 
     def run(batches):
-        state: tuple[int, np.ndarray | None] = (0, None)
+        state: tuple = (0, None)
         camera = None
         for b in batches:
             for row in b.to_pylist():
@@ -90,8 +138,14 @@ def propose(frames: DataFrame, s: ProposalSettings = ProposalSettings()) -> Data
                 if found:
                     yield from pa.Table.from_pylist(found, PROPOSED_ARROW).to_batches()
 
-    ordered = frames.repartition("camera_id").sortWithinPartitions("camera_id", "frame_id").select(*(c.split()[0] for c in FRAMES.split(", ")))
-    return ordered.mapInArrow(run, PROPOSED)
+    own = frames.select(*(c.split()[0] for c in FRAMES.split(", ")))
+    own = with_priors(own, priors) if priors is not None else own.withColumn("priors", F.lit(None).cast(PRIORS))
+    return own.repartition("camera_id").sortWithinPartitions("camera_id", "frame_id").mapInArrow(run, PROPOSED)
+
+
+def split_events(proposals: DataFrame) -> DataFrame:
+    """(camera_id, frame_id, axis, status): the tries to split, for reporting.split_diagnostics()."""
+    return proposals.select("camera_id", "frame_id", F.explode("splits").alias("e")).select("camera_id", "frame_id", "e.*")
 
 
 def materialise_bins(placements: DataFrame, frames: DataFrame, size: BinSize = BinSize()) -> DataFrame:
@@ -137,20 +191,21 @@ def run_batches(batch: list[np.ndarray], models: dict[int, Model] | Model, plan:
     return out
 
 
-def enhance(images: DataFrame, model: Model = bilinear_model, latency: dict[int, float] | None = None) -> DataFrame:
-    """The images (height, width, n_channels, data and any keys) three times as large."""
+def enhance(images: DataFrame, model: Model | dict[int, Model] = bilinear_model, latency: dict[int, float] | None = None, key: str = "gop") -> DataFrame:
+    """The images (key, height, width, n_channels, data and any others, such as bin_idx) three times as large.
+
+    The images of one key value, in order of the other columns, are one launch: its plan covers their number. They are a GOP's bins, which
+    the budget bounds.
+    """
     keys = [c for c in images.columns if c not in ("height", "width", "n_channels", "data")]
 
-    def run(batches):
-        for b in batches:
-            rows = b.to_pylist()
-            for k in range(0, len(rows), 32):
-                made = [packed(x) for x in run_batches([unpack(r) for r in rows[k : k + 32]], model, None, latency)]
-                cols = [b[c].slice(k, 32) for c in keys]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([m[c] for m in made], pa.int32()) for c in ("height", "width", "n_channels")), pa.array([m["data"] for m in made], pa.binary())], names=[*keys, "height", "width", "n_channels", "data"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in keys])
+        made = [packed(x) for x in run_batches([unpack(r) for r in table.select(["height", "width", "n_channels", "data"]).to_pylist()], model, None, latency)]
+        return pa.table([*(table[c] for c in keys), *(pa.array([m[c] for m in made], pa.int32()) for c in ("height", "width", "n_channels")), pa.array([m["data"] for m in made], pa.binary())], names=[*keys, "height", "width", "n_channels", "data"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name in keys)
-    return images.mapInArrow(run, schema + (", " if schema else "") + "height int, width int, n_channels int, data binary")
+    return images.select(*keys, "height", "width", "n_channels", "data").groupBy(key).applyInArrow(run, f"{schema}, height int, width int, n_channels int, data binary")
 
 
 def blend_back(frames: DataFrame, placements: DataFrame, enhanced: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -185,22 +240,39 @@ def blend_back(frames: DataFrame, placements: DataFrame, enhanced: DataFrame, sc
     return frames.groupBy("camera_id", "frame_id").cogroup(patches.groupBy("camera_id", "frame_id")).applyInArrow(paste, FRAMES)
 
 
-def detect(frames: DataFrame, detector: Detector = constant_detector, max_batch: int = 8) -> DataFrame:
-    """Detection records of frames, max_batch at a time and in order."""
+def each_alone(detector: Detector) -> Callable[[list[np.ndarray]], list[tuple]]:
+    """A batch detector from one of single images."""
+    return lambda images: [detector(x) for x in images]
+
+
+def detect(frames: DataFrame, detector: Callable[[list[np.ndarray]], list[tuple]] = each_alone(constant_detector), max_batch: int = 8) -> DataFrame:
+    """Detection records of frames, in order: a call of the detector takes at most max_batch images and must answer each."""
+    kinds = pa.schema([("frame_id", pa.int64()), ("camera_id", pa.string()), ("boxes", pa.list_(pa.list_(pa.float64()))), ("scores", pa.list_(pa.float64())), ("labels", pa.list_(pa.int32()))])
 
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            out = []
-            for k in range(0, len(rows), max_batch):
-                for r in rows[k : k + max_batch]:
-                    boxes, scores, labels = detector(unpack(r))
-                    out.append({"frame_id": r["frame_id"], "camera_id": r["camera_id"], "boxes": np.asarray(boxes, float).tolist(), "scores": np.asarray(scores, float).tolist(), "labels": np.asarray(labels, int).tolist()})
-            yield from pa.Table.from_pylist(out, pa.schema([("frame_id", pa.int64()), ("camera_id", pa.string()), ("boxes", pa.list_(pa.list_(pa.float64()))), ("scores", pa.list_(pa.float64())), ("labels", pa.list_(pa.int32()))])).to_batches()
+            for k in range(0, b.num_rows, max_batch):
+                rows = b.slice(k, max_batch).to_pylist()
+                found = detector([unpack(r) for r in rows])
+                if len(found) != len(rows):
+                    raise ValueError(f"the detector gave {len(found)} results for {len(rows)} images")
+                out = [{"frame_id": r["frame_id"], "camera_id": r["camera_id"], "boxes": np.asarray(boxes, float).tolist(), "scores": np.asarray(scores, float).tolist(), "labels": np.asarray(labels, int).tolist()} for r, (boxes, scores, labels) in zip(rows, found)]
+                yield from pa.Table.from_pylist(out, kinds).to_batches()
 
     return frames.mapInArrow(run, DETECTIONS)
 
 
+def detect_targets(frames: DataFrame, active: DataFrame) -> DataFrame:
+    """The frames that detection takes (of active: camera_id, frame_id), with target, their place: cameras in order, then frames."""
+    own = frames.join(active.select("camera_id", "frame_id").distinct(), ["camera_id", "frame_id"], "left_semi")
+    narrow = own.select("camera_id", "frame_id")
+    per = narrow.groupBy("camera_id").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("camera_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a camera
+    nth = F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_id")) - 1
+    placed = narrow.withColumn("nth", nth).join(F.broadcast(per.select("camera_id", before.alias("base"))), "camera_id")
+    return own.join(placed.select("camera_id", "frame_id", (F.col("base") + F.col("nth")).alias("target")), ["camera_id", "frame_id"])
+
+
 def mosaics(frames: DataFrame) -> DataFrame:
     """Per frame_id the views of four cameras, in order, as one image; frames with fewer views are left out."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FILL_RATIO, BinSize
+from ..config import FILL_RATIO, IMAGE_HEIGHT, IMAGE_WIDTH, BinSize
 from ..functions.geometry import area, bin_count, fitted_size, launch_plan
 from ..schemas import BBOX
 
@@ -118,24 +118,32 @@ def admit_group(cands: list[dict], max_bins: int | None, size: BinSize = BinSize
 
 
 def admit_and_pack(cands: DataFrame, max_bins: int | None = 8, size: BinSize = BinSize()) -> DataFrame:
-    """Per candidate of each GOP: status (placed or deferred) and its place; cands has gop, CANDIDATE columns and orig_bbox."""
+    """Per candidate of each GOP: status (placed or deferred), its place, and whether the budget selected it; cands has gop, CANDIDATE columns and orig_bbox."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         chosen, deferred = admit_group(rows, max_bins, size)
         placed, invalid, _ = pack_group(chosen, size)
         none = {"bin_idx": None, "bx": None, "by": None, "bw": None, "bh": None}
-        out = [c | {"status": "placed"} for c in placed] + [c | none | {"status": "deferred"} for c in deferred + invalid]
-        kinds = {"gop": pa.int64(), "cluster_id": pa.string(), "cam_id": pa.string(), "frame_id": pa.int64(), "w": pa.int32(), "h": pa.int32(), "orig_bbox": pa.struct([(k, pa.int32()) for k in "xywh"]), "importance": pa.float64(), "status": pa.string(), **{k: pa.int32() for k in none}}
+        out = [c | {"status": "placed", "selected": True} for c in placed] + [c | none | {"status": "deferred", "selected": k >= len(deferred)} for k, c in enumerate(deferred + invalid)]
+        kinds = {"gop": pa.int64(), "cluster_id": pa.string(), "cam_id": pa.string(), "frame_id": pa.int64(), "w": pa.int32(), "h": pa.int32(), "orig_bbox": pa.struct([(k, pa.int32()) for k in "xywh"]), "importance": pa.float64(), "status": pa.string(), **{k: pa.int32() for k in none}, "selected": pa.bool_()}
         return pa.table({k: pa.array([r[k] for r in out], t) for k, t in kinds.items()})
 
     own = cands.select(F.col("gop").cast("long"), "cluster_id", "cam_id", F.col("frame_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), F.col("orig_bbox").cast(BBOX), F.col("importance").cast("double"))
-    return own.groupBy("gop").applyInArrow(run, f"gop long, cluster_id string, cam_id string, frame_id long, w int, h int, orig_bbox {BBOX}, importance double, status string, bin_idx int, bx int, by int, bw int, bh int")
+    return own.groupBy("gop").applyInArrow(run, f"gop long, cluster_id string, cam_id string, frame_id long, w int, h int, orig_bbox {BBOX}, importance double, status string, bin_idx int, bx int, by int, bw int, bh int, selected boolean")
+
+
+PROFILES = 1000  # of engines, at most
 
 
 def launch_plans(counts: DataFrame, latency: DataFrame | None) -> DataFrame:
     """Adds plan (array of batch sizes) to counts (n_bins); latency (batch_size, mean_ms) is a table of engine profiles, tens of rows."""
-    table = {} if latency is None else {r.batch_size: r.mean_ms for r in latency.limit(1000).collect()}
+    table = {}
+    if latency is not None:
+        profiles = latency.limit(PROFILES + 1).collect()
+        if len(profiles) > PROFILES:
+            raise ValueError(f"more than {PROFILES} latency profiles")
+        table = {r.batch_size: r.mean_ms for r in profiles}
     top = 4096
 
     def run(batches):
@@ -155,15 +163,35 @@ def launch_plans(counts: DataFrame, latency: DataFrame | None) -> DataFrame:
 # ---------------------------------------------------------------- accounting
 
 
-def gop_accounting(proposals: DataFrame, packed: DataFrame, size: BinSize = BinSize()) -> DataFrame:
-    """Counts and areas of each GOP: proposals (gop, w, h) and packed candidates."""
+FRAME_AREA = IMAGE_WIDTH * IMAGE_HEIGHT
+
+
+def gop_accounting(proposals: DataFrame, packed: DataFrame, size: BinSize = BinSize(), max_bins: int | None = None, cross_camera: bool = True) -> DataFrame:
+    """All counts and areas of each GOP: proposals (gop, w, h) and packed candidates. max_bins and cross_camera are the run's settings."""
     raw = proposals.groupBy("gop").agg(F.count("*").alias("raw_count"), F.sum(area(F.col("w"), F.col("h"))).alias("raw_area"))
     box = area(F.col("orig_bbox.w"), F.col("orig_bbox.h"))
-    on = lambda s, v: F.coalesce(F.sum(F.when(F.col("status") == s, v)), F.lit(0)).cast("long")
-    kept = packed.groupBy("gop").agg(F.count("*").alias("dedup_count"), F.sum(box).cast("long").alias("dedup_area"), on("placed", F.lit(1)).alias("placed_count"), on("placed", box).alias("placed_area"), on("deferred", F.lit(1)).alias("deferred_count"), on("deferred", box).alias("deferred_area"), F.coalesce(F.max("bin_idx") + 1, F.lit(0)).cast("long").alias("bins"))
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
+    placed, selected = F.col("status") == "placed", F.col("selected")
+    kept = packed.groupBy("gop").agg(
+        F.count("*").alias("dedup_count"), F.sum(box).cast("long").alias("dedup_area"), total(selected, F.lit(1)).alias("selected_count"), total(~selected, F.lit(1)).alias("budget_deferred_count"),
+        total(placed, F.lit(1)).alias("placed_count"), total(placed, box).alias("placed_area"), total(~placed, F.lit(1)).alias("deferred_count"), total(~placed, box).alias("deferred_area"), F.coalesce(F.max("bin_idx") + 1, F.lit(0)).cast("long").alias("bins"),
+    )
     both = raw.join(kept, "gop", "left").fillna(0)
     canvas = F.col("bins") * size.area
-    return both.withColumn("canvas", canvas).withColumn("fill_ratio", F.when(canvas > 0, F.col("placed_area") / canvas).otherwise(0.0)).withColumn("raw_bins", bin_count(F.col("raw_area"), size.area)).withColumn("dedup_bins", bin_count(F.col("dedup_area"), size.area))
+    both = both.withColumns({"canvas": canvas, "placed_pixels": F.col("placed_area"), "fill_ratio": F.when(canvas > 0, F.col("placed_area") / canvas).otherwise(0.0)})
+    counts = {f"{k}_{name}": bin_count(F.col(f"{k}_area"), a) for k in ("raw", "dedup") for name, a in (("bins", size.area), ("frames", FRAME_AREA))}
+    return both.withColumns(counts | {"max_bins": F.lit(max_bins).cast("int"), "cross_camera": F.lit(cross_camera)})
+
+
+def candidate_snapshots(packed: DataFrame) -> DataFrame:
+    """Per GOP its candidates as an array of structs, for the run's record."""
+    one = F.struct("cluster_id", F.col("cam_id").alias("camera_id"), "frame_id", F.array("orig_bbox.x", "orig_bbox.y", "orig_bbox.w", "orig_bbox.h").alias("bbox"), F.col("w").alias("patch_width"), F.col("h").alias("patch_height"), "importance", "status")
+    return packed.groupBy("gop").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+
+
+def next_gop_start(frames: DataFrame) -> DataFrame:
+    """Adds to rows (gop, frame_id) the first frame of the GOP after theirs: one past the GOP's last."""
+    return frames.join(frames.groupBy("gop").agg((F.max("frame_id") + 1).alias("next_start")), "gop")
 
 
 def run_totals(gops: DataFrame, size: BinSize = BinSize()) -> DataFrame:

@@ -11,6 +11,8 @@ from ..schemas import POINTS
 PAIRS = [("c001", "c002", 120.0, 0.2323), ("c001", "c003", 46.0, 0.5), ("c001", "c004", 120.0, 0.3671), ("c002", "c003", 46.0, 0.2993), ("c002", "c004", 46.0, 0.963), ("c003", "c004", 120.0, 0.7654)]
 HULL = [(40.0, 40.0), (600.0, 30.0), (620.0, 330.0), (300.0, 350.0), (30.0, 300.0)]
 
+H = [[1.0, 0.02, 3.0], [-0.01, 1.0, -2.0], [0.00002, 0.00001, 1.0]]
+
 DET_SQL = """det AS (SELECT event_id AS det_id, 'c00' || CAST(event_id % 4 + 1 AS VARCHAR) AS camera_id, event_id // 16 AS frame_id,
  (event_id * 37 + user_id * 11) % 560 AS x, (event_id * 53 + user_id * 7) % 300 AS y, 24 + user_id % 56 AS w, 20 + event_id % 36 AS h,
  CAST((event_id * 29 + user_id * 13) % 1000 AS DOUBLE) / 1000.0 AS score,
@@ -29,6 +31,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pixel_frames(det: DataFrame) -> DataFrame:
+    """A frame of one grey pixel for each camera and frame: the sum of its boxes' widths, modulo 200."""
+    own = det.groupBy("camera_id", "frame_id").agg((F.sum("w") % 200).alias("v"))
+    return own.select("camera_id", "frame_id", F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(3).alias("n_channels"), F.unhex(F.repeat(F.lpad(F.hex("v"), 2, "0"), 3)).alias("data"))
+
+
 def ground_truth(det: DataFrame) -> DataFrame:
     d = F.col("det_id")
     return det.where(d % 9 != 0).select(d.alias("gt_id"), "camera_id", "frame_id", (F.col("x") + d % 7 - 3).alias("x"), (F.col("y") + d % 5 - 2).alias("y"), "w", "h", d.alias("object_id"))
@@ -40,6 +48,5 @@ def with_corners(df: DataFrame) -> DataFrame:
 
 
 def pairs(spark: SparkSession, hull: bool = False) -> DataFrame:
-    one = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
     own = [{"x": x, "y": y} for x, y in HULL] if hull else None
-    return spark.createDataFrame([(a, b, one, own, None, t, f, 20.0) for a, b, t, f in PAIRS], f"src_cam string, ref_cam string, H array<array<double>>, hull_src {POINTS}, hull_ref {POINTS}, tau double, pair_f1 double, margin double")
+    return spark.createDataFrame([(a, b, H, own, None, t, f, 20.0) for a, b, t, f in PAIRS], f"src_cam string, ref_cam string, H array<array<double>>, hull_src {POINTS}, hull_ref {POINTS}, tau double, pair_f1 double, margin double")

@@ -39,9 +39,9 @@ def candidates_of(props: DataFrame, pairs: DataFrame | None, gop: int = 10, size
     return ranked.select("gop", "cluster_id", F.col("camera_id").alias("cam_id"), "frame_id", "w", "h", box.alias("orig_bbox"), F.col("importance_norm").alias("importance"))
 
 
-def run_pipeline(frames: DataFrame, pairs: DataFrame | None, settings: ProposalSettings = ProposalSettings(), gop: int = 10, max_bins: int | None = 8, size: BinSize = BinSize(), model: en.Model = en.bilinear_model, detector: en.Detector = en.constant_detector) -> Run:
+def run_pipeline(frames: DataFrame, pairs: DataFrame | None, settings: ProposalSettings = ProposalSettings(), gop: int = 10, max_bins: int | None = 8, size: BinSize = BinSize(), model: en.Model = en.bilinear_model, detector: en.Detector = en.constant_detector, priors: DataFrame | None = None) -> Run:
     """Pixels are read again where they are needed (sharpness, bins, blending) instead of moving with proposals."""
-    proposals = en.propose(frames, settings)
+    proposals = en.propose(frames, settings, priors)
     flat = proposals.select("proposal_id", "camera_id", "frame_id", "bbox.*")
     cands = candidates_of(en.sharpness(flat, frames), pairs, gop, size)
     packed = admit_and_pack(cands, max_bins, size)
@@ -49,4 +49,4 @@ def run_pipeline(frames: DataFrame, pairs: DataFrame | None, settings: ProposalS
     bins = en.enhance(en.materialise_bins(placed, frames, size), model)
     done = en.blend_back(frames, placed, bins)
     accounts = gop_accounting(flat.withColumn("gop", gop_of(F.col("frame_id"), gop)), packed, size)
-    return Run(proposals, cands, packed, accounts, done, en.detect(done, detector))
+    return Run(proposals, cands, packed, accounts, done, en.detect(done, en.each_alone(detector)))

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BinSize
+from ..config import BinSize, ProposalSettings
 from ..functions import geometry as g
 from ..operators import calibration as cal
 from ..operators import evaluation as ev
 from ..operators import matching as ma
 from ..operators import packing as pk
 from ..operators import reporting as rp
-from .fixtures import DET_SQL, GT_SQL, PAIRS_SQL, detections, ground_truth, pairs, with_corners
+from .fixtures import DET_SQL, GT_SQL, H, PAIRS, PAIRS_SQL, detections, ground_truth, pairs, pixel_frames, with_corners
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,17 +112,28 @@ def q_class_conf_filter(spark, d):
 
 @query(f"{WITH_DET} SELECT det_id FROM det WHERE w * h >= 1200 AND CAST(w AS DOUBLE) / h > 0.5 AND CAST(w AS DOUBLE) / h < 2.0")
 def q_aspect_filter(spark, d):
-    ratio = F.col("w") / F.col("h")
-    return detections(spark, d).where((F.col("w") * F.col("h") >= 1200) & (ratio > 0.5) & (ratio < 2.0)).select("det_id")
+    """Each box as a component of w x h pixels, through the filter of components."""
+    import pyarrow as pa
+
+    from ..operators.images import filter_boxes
+
+    s = ProposalSettings(min_area=1200, min_aspect=0.5, max_aspect=2.0)
+
+    def run(batches):
+        for b in batches:
+            keep = [bool(filter_boxes([((0, 0, w, h), w * h)], s)) for w, h in zip(b["w"].to_pylist(), b["h"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["det_id"].filter(pa.array(keep, pa.bool_()))], names=["det_id"])
+
+    return detections(spark, d).select("det_id", "w", "h").mapInArrow(run, "det_id long")
 
 
 @query(f"{WITH_DET} SELECT camera_id, count(*) AS frames FROM (SELECT camera_id, frame_id, row_number() OVER (PARTITION BY camera_id ORDER BY frame_id) AS n FROM (SELECT DISTINCT camera_id, frame_id FROM det)) WHERE n > 300 GROUP BY 1")
 def q_warmup_gate(spark, d):
-    from pyspark.sql import Window
+    """Frames of one pixel through the background model; those after the warm-up."""
+    from ..operators.enhance import foreground_counts
 
-    frames = detections(spark, d).select("camera_id", "frame_id").distinct()
-    n = F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_id"))
-    return frames.withColumn("n", n).where("n > 300").groupBy("camera_id").agg(F.count("*").alias("frames"))
+    seen = foreground_counts(pixel_frames(detections(spark, d)), ProposalSettings(warmup_frames=300))
+    return seen.where("NOT warm").groupBy("camera_id").agg(F.count("*").alias("frames"))
 
 
 @query("SELECT o_orderkey, list_sort(list_distinct([CAST(trim(v) AS INTEGER) FOR v IN str_split(concat_ws(',', o_orderkey % 7, o_orderkey % 3, o_orderkey % 5), ',')]))::VARCHAR AS ids FROM orders")
@@ -134,8 +145,13 @@ def q_int_set(spark, d):
 
 # ---------------------------------------------------------------- joins and clusters
 
+def _row(i: int) -> str:
+    return f"({H[i][0]!r}::DOUBLE * px + {H[i][1]!r}::DOUBLE * py + {H[i][2]!r}::DOUBLE)"
+
+
 EDGE_SQL = f"""{WITH_DET}, {PAIRS_SQL}, pt AS (SELECT det_id, camera_id, frame_id, x + w / 2.0 AS px, CAST(y + h AS DOUBLE) AS py FROM det),
- edges AS (SELECT a.frame_id, a.det_id AS src, b.det_id AS ref, a.camera_id AS src_camera, b.camera_id AS ref_camera, sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) AS d, tau FROM pt a JOIN pairs ON a.camera_id = src_cam JOIN pt b ON b.frame_id = a.frame_id AND b.camera_id = ref_cam WHERE pair_f1 >= 0.5 AND tau > 0)"""
+ to_ref AS (SELECT *, {_row(0)} / {_row(2)} AS qx, {_row(1)} / {_row(2)} AS qy FROM pt),
+ edges AS (SELECT a.frame_id, a.det_id AS src, b.det_id AS ref, a.camera_id AS src_camera, b.camera_id AS ref_camera, sqrt(power(a.qx - b.px, 2) + power(a.qy - b.py, 2)) AS d, tau FROM to_ref a JOIN pairs ON a.camera_id = src_cam JOIN pt b ON b.frame_id = a.frame_id AND b.camera_id = ref_cam WHERE pair_f1 >= 0.5 AND tau > 0)"""
 
 
 def _edges(spark, d, inclusive=True):
@@ -195,7 +211,7 @@ def q_pairwise_f1(spark, d):
 
 # ---------------------------------------------------------------- quality and ranking
 
-QUALITY_SQL = f"""{WITH_DET}, raw AS (SELECT *, frame_id * 10 + det_id % 3 AS cluster, ln(w * h / 230400.0 + 1e-6) AS s, coalesce(CAST(sharpness AS DOUBLE), 0) AS c FROM det),
+QUALITY_SQL = f"""{CLUSTER_SQL}, raw AS (SELECT det.*, cluster, ln(w * h / 230400.0 + 1e-6) AS s, coalesce(CAST(sharpness AS DOUBLE), 0) AS c FROM det JOIN clus USING (det_id)),
  n AS (SELECT *, min(s) OVER k AS s0, max(s) OVER k AS s1, min(c) OVER k AS c0, max(c) OVER k AS c1, count(*) OVER k AS views FROM raw WINDOW k AS (PARTITION BY cluster)),
  q AS (SELECT *, greatest(0, least(1, 0.48 * CASE WHEN s1 - s0 <= 1e-6 THEN 0.5 ELSE (s - s0) / (s1 - s0) END + 0.52 * CASE WHEN c1 - c0 <= 1e-6 THEN 0.5 ELSE (c - c0) / (c1 - c0) END)) AS q FROM n),
  b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(q, 9), camera_id, det_id) AS r FROM q),
@@ -203,12 +219,12 @@ QUALITY_SQL = f"""{WITH_DET}, raw AS (SELECT *, frame_id * 10 + det_id % 3 AS cl
 
 
 def _quality(spark, d):
-    views = detections(spark, d).withColumn("cluster", F.col("frame_id") * 10 + F.col("det_id") % 3)
-    return ma.view_quality(views, ["cluster"])
+    views = detections(spark, d).join(_clusters(spark, d).select("frame_id", "det_id", "cluster"), ["frame_id", "det_id"])
+    return ma.view_quality(views, ["frame_id", "cluster"])
 
 
 def _ranked(spark, d):
-    best = ma.best_views(_quality(spark, d).withColumn("q9", F.round("q", 9)).withColumnRenamed("q", "q_").withColumnRenamed("q9", "q"), ["cluster"], ["camera_id", "det_id"])
+    best = ma.best_views(_quality(spark, d).withColumn("q9", F.round("q", 9)).withColumnRenamed("q", "q_").withColumnRenamed("q9", "q"), ["frame_id", "cluster"], ["camera_id", "det_id"])
     return ma.rank(best.drop("q").withColumnRenamed("q_", "q")).withColumn("gop", F.expr("frame_id div 10"))
 
 
@@ -262,18 +278,43 @@ def q_pack_objects(spark, d):
     return pk.admit_and_pack(_cands(spark, d), 8).select("gop", "cluster_id", "status", "bin_idx", "bx", "by", "bw", "bh")
 
 
-@query(f"{CAND_SQL} SELECT c2.gop, count(*) AS raw_count, CAST(sum(w * h) AS BIGINT) AS raw_area, CAST(sum(CASE WHEN det_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS dedup_count, CAST(ceil(sum(w * h) / 65536.0) AS BIGINT) AS raw_bins FROM c2 LEFT JOIN (SELECT lpad(CAST(det_id AS VARCHAR), 10, '0') AS cluster_id, det_id FROM det WHERE det_id % 3 = 0) k USING (cluster_id) GROUP BY 1")
+def _tiles(spark, d):
+    """Candidates of one size, 64 x 64, so that 16 fill a bin in a known order; orig_bbox is the detection's own size."""
+    own = _cands(spark, d).drop("orig_bbox").withColumns({"w": F.lit(64), "h": F.lit(64)})
+    sizes = detections(spark, d).select(F.lpad(F.col("det_id").cast("string"), 10, "0").alias("cluster_id"), F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h")).alias("orig_bbox"))
+    return own.join(sizes, "cluster_id")
+
+
+# The places that 64 x 64 patches take in a bin, in turn; the budget of 8 bins (0.95 of their area) holds 121 of them.
+TILE_PLACES = [(0, 0), (64, 0), (128, 0), (192, 0), (0, 64), (0, 128), (0, 192), (64, 64), (128, 64), (192, 64), (64, 128), (64, 192), (128, 128), (192, 128), (128, 192), (192, 192)]
+TILE_SQL = f"""{WITH_DET}, place AS (SELECT * FROM (VALUES {', '.join(f'({k}, {x}, {y})' for k, (x, y) in enumerate(TILE_PLACES))}) t(k, bx, "by")),
+ o AS (SELECT det_id, frame_id // 40 AS gop, w, h, row_number() OVER (PARTITION BY frame_id // 40 ORDER BY score DESC, frame_id, camera_id, det_id) - 1 AS n FROM det),
+ t AS (SELECT gop, lpad(CAST(det_id AS VARCHAR), 10, '0') AS cluster_id, w, h, CASE WHEN n < 121 THEN 'placed' ELSE 'deferred' END AS status, n < 121 AS selected, CASE WHEN n < 121 THEN n // 16 END AS bin_idx, CASE WHEN n < 121 THEN place.bx END AS bx, CASE WHEN n < 121 THEN place."by" END AS "by" FROM o JOIN place ON k = n % 16)"""
+
+
+@query(f'{TILE_SQL} SELECT gop, cluster_id, status, selected, CAST(bin_idx AS INT) AS bin_idx, bx, "by" FROM t')
+def q_pack_tiles(spark, d):
+    return pk.admit_and_pack(_tiles(spark, d), 8).select("gop", "cluster_id", "status", "selected", "bin_idx", "bx", "by")
+
+
+ACCOUNT_SQL = f"""{TILE_SQL}, a AS (SELECT gop, count(*) AS raw_count, CAST(sum(w * h) AS BIGINT) AS raw_area, count(*) FILTER (selected) AS selected_count, count(*) FILTER (NOT selected) AS budget_deferred_count, count(*) FILTER (status = 'placed') AS placed_count,
+ CAST(coalesce(sum(w * h) FILTER (status = 'placed'), 0) AS BIGINT) AS placed_area, count(*) FILTER (status <> 'placed') AS deferred_count, CAST(coalesce(sum(w * h) FILTER (status <> 'placed'), 0) AS BIGINT) AS deferred_area, max(bin_idx) + 1 AS bins FROM t GROUP BY gop),
+ acc AS (SELECT *, raw_count AS dedup_count, raw_area AS dedup_area, bins * 65536 AS canvas, CAST(ceil(raw_area / 65536.0) AS BIGINT) AS raw_bins, CAST(ceil(raw_area / 230400.0) AS BIGINT) AS raw_frames FROM a)"""
+
+
+@query(f"{ACCOUNT_SQL} SELECT gop, TRUE AS cross_camera, 8 AS max_bins, raw_count, raw_area, dedup_count, dedup_area, selected_count, budget_deferred_count, placed_count, placed_area, deferred_count, deferred_area, bins, canvas, placed_area AS placed_pixels, round(placed_area / CAST(canvas AS DOUBLE), 6) AS fill_ratio, raw_bins, raw_bins AS dedup_bins, raw_frames, raw_frames AS dedup_frames FROM acc")
 def q_gop_accounting(spark, d):
-    c = _cands(spark, d)
-    some = c.where(F.col("cluster_id").cast("long") % 3 == 0).withColumn("status", F.lit("placed")).withColumn("bin_idx", F.lit(0))
-    return pk.gop_accounting(c, some).select("gop", "raw_count", "raw_area", "dedup_count", "raw_bins")
+    """All metrics of each GOP, of the placements that packing made."""
+    c = _tiles(spark, d)
+    boxes = c.select("gop", "orig_bbox.w", "orig_bbox.h")
+    return rounded(pk.gop_accounting(boxes, pk.admit_and_pack(c, 8), max_bins=8), "fill_ratio")
 
 
-@query(f"{CAND_SQL}, p AS (SELECT gop, sum(w * h) AS raw, sum(CASE WHEN CAST(cluster_id AS BIGINT) % 3 = 0 THEN w * h ELSE 0 END) AS ded FROM c2 GROUP BY 1) SELECT count(*) AS gops, CAST(sum(raw) AS BIGINT) AS raw_area, CAST(sum(ceil(raw / 65536.0)) AS BIGINT) AS raw_bins_by_gop, CAST(ceil(sum(raw) / 65536.0) AS BIGINT) AS raw_bins_total, round(1 - CAST(sum(ded) AS DOUBLE) / sum(raw), 6) AS area_reduction FROM p")
+@query(f"{ACCOUNT_SQL} SELECT count(*) AS gops, CAST(sum(raw_area) AS BIGINT) AS raw_area, CAST(sum(dedup_area) AS BIGINT) AS dedup_area, CAST(sum(placed_area) AS BIGINT) AS placed_area, CAST(sum(bins) AS BIGINT) AS bins, CAST(sum(raw_bins) AS BIGINT) AS raw_bins_by_gop, CAST(ceil(sum(raw_area) / 65536.0) AS BIGINT) AS raw_bins_total, round(1 - CAST(sum(dedup_area) AS DOUBLE) / sum(raw_area), 6) AS area_reduction FROM acc")
 def q_run_totals(spark, d):
-    c = _cands(spark, d)
-    some = c.where(F.col("cluster_id").cast("long") % 3 == 0).withColumn("status", F.lit("placed")).withColumn("bin_idx", F.lit(0))
-    return rounded(pk.run_totals(pk.gop_accounting(c, some)).select("gops", "raw_area", "raw_bins_by_gop", "raw_bins_total", "area_reduction"), "area_reduction")
+    c = _tiles(spark, d)
+    gops = pk.gop_accounting(c.select("gop", "orig_bbox.w", "orig_bbox.h"), pk.admit_and_pack(c, 8), max_bins=8)
+    return rounded(pk.run_totals(gops).select("gops", "raw_area", "dedup_area", "placed_area", "bins", "raw_bins_by_gop", "raw_bins_total", "area_reduction"), "area_reduction")
 
 
 GOPS_SQL = f"{WITH_DET}, f AS (SELECT DISTINCT frame_id FROM det), gp AS (SELECT frame_id // 10 AS gop, list(frame_id) AS frame_ids, max(frame_id) AS top, 4 * count(*) AS camera_frames, (frame_id // 10) % 7 + 1.0 AS cpu_seconds, (frame_id // 10) % 5 + 0.5 AS gpu_seconds FROM f GROUP BY frame_id // 10)"
@@ -359,7 +400,7 @@ def q_eval_full_outer(spark, d):
 # ---------------------------------------------------------------- calibration
 
 POINT_SQL = f"{WITH_DET}, pt AS (SELECT camera_id, frame_id, det_id // 4 AS object_id, x + w / 2.0 AS px, CAST(y + h AS DOUBLE) AS py, det_id FROM det)"
-SAME_SQL = f"{POINT_SQL}, sd AS (SELECT a.camera_id AS src, b.camera_id AS ref, sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) AS d, a.object_id = b.object_id AS same, a.frame_id FROM pt a JOIN pt b ON a.frame_id = b.frame_id AND ((a.camera_id = 'c001' AND b.camera_id = 'c002') OR (a.camera_id = 'c002' AND b.camera_id = 'c004')))"
+SAME_SQL = f"{POINT_SQL}, sd AS (SELECT a.camera_id AS src, b.camera_id AS ref, sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) AS d, a.object_id = b.object_id AS same, a.frame_id FROM pt a JOIN pt b ON a.frame_id = b.frame_id AND a.camera_id < b.camera_id)"
 
 
 def _points(spark, d):
@@ -367,15 +408,15 @@ def _points(spark, d):
 
 
 def _same_diff(spark, d):
-    return cal.same_diff_pairs(_points(spark, d), [("c001", "c002"), ("c002", "c004")])
+    return cal.same_diff_pairs(_points(spark, d), [p[:2] for p in PAIRS])
 
 
-@query(f"{POINT_SQL} SELECT a.frame_id, a.object_id, a.px AS sx, b.px AS rx FROM pt a JOIN pt b ON a.frame_id = b.frame_id AND a.object_id = b.object_id WHERE a.camera_id = 'c001' AND b.camera_id = 'c002' AND a.frame_id BETWEEN 10 AND 400")
+@query(f"{POINT_SQL} SELECT a.frame_id, a.object_id, a.px AS sx, b.px AS rx FROM pt a JOIN pt b ON a.frame_id = b.frame_id AND a.object_id = b.object_id WHERE a.camera_id = 'c001' AND b.camera_id = 'c002'")
 def q_same_id_join(spark, d):
     return cal.correspondences(_points(spark, d), "c001", "c002").select("frame_id", "object_id", "sx", "rx")
 
 
-@query(f"{SAME_SQL}, p AS (SELECT src, ref, frame_id, sum(CASE WHEN same THEN 0 ELSE 1 END) AS n FROM sd GROUP BY 1, 2, 3), k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY src, ref ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT src, ref, same, count(*) AS n, round(sum(d), 3) AS total FROM sd JOIN k USING (src, ref, frame_id) WHERE b <= 2000 GROUP BY 1, 2, 3")
+@query(f"{SAME_SQL} SELECT src, ref, same, count(*) AS n, round(sum(d), 3) AS total FROM sd GROUP BY 1, 2, 3")
 def q_same_diff(spark, d):
     return _same_diff(spark, d).groupBy("src", "ref", "same").agg(F.count("*").alias("n"), F.round(F.sum("d"), 3).alias("total"))
 
@@ -418,12 +459,32 @@ def q_prior_nn_fill(spark, d):
     return rounded(cal.size_priors(own).select("camera_id", "y_bin", "has_data", "median_w", "median_h", "q90_a"), "median_w", "median_h", "q90_a")
 
 
-@query(f"{WITH_GT}, b AS (SELECT camera_id, least(17, greatest(0, CAST(floor((y + h) / 20.0) AS INTEGER))) AS y_bin, w, h, w * h AS a FROM gt), f AS (SELECT camera_id, y_bin, quantile_cont(w, 0.5) AS mw, quantile_cont(a, 0.5) AS ma FROM b GROUP BY 1, 2 HAVING count(*) >= 5) SELECT det_id FROM (SELECT det.*, least(17, greatest(0, CAST(floor((y + h) / 20.0) AS INTEGER))) AS y_bin FROM det) d JOIN f USING (camera_id, y_bin) WHERE w > 1.2 * mw OR w * h > 1.5 * ma")
+LOOKUP_SQL = f"""{WITH_GT}, b AS (SELECT camera_id, least(17, greatest(0, CAST(floor((y + h) / 20.0) AS INTEGER))) AS y_bin, w, h, w * h AS a FROM gt),
+ f AS (SELECT camera_id, y_bin AS have, quantile_cont(w, 0.5) AS mw, quantile_cont(a, 0.5) AS ma, quantile_cont(w, 0.9) AS qw, quantile_cont(a, 0.9) AS qa FROM b GROUP BY 1, 2 HAVING count(*) >= 5),
+ p AS (SELECT * FROM (SELECT f.*, y_bin, row_number() OVER (PARTITION BY camera_id, y_bin ORDER BY abs(have - y_bin), have) AS k FROM f, range(18) r(y_bin)) WHERE k = 1),
+ j AS (SELECT det_id, w > 1.2::DOUBLE * mw OR w * h > 1.5::DOUBLE * ma AS by_median, w > qw OR w * h > qa AS by_q90 FROM (SELECT *, least(17, greatest(0, CAST(floor((y + h) / 20.0) AS INTEGER))) AS y_bin FROM det) d JOIN p USING (camera_id, y_bin))
+ SELECT det_id, by_median, by_q90 FROM j WHERE by_median OR by_q90"""
+
+
+@query(LOOKUP_SQL)
 def q_prior_lookup(spark, d):
+    """Boxes that the sizes known for their place make candidates for a split, by median and by 0.9 quantile."""
+    import pyarrow as pa
+
+    from ..operators.enhance import with_priors
+    from ..operators.images import prior_of, triggered
+
     det = detections(spark, d)
-    prior = cal.size_priors(ground_truth(det)).where("has_data").select("camera_id", "y_bin", "median_w", "median_a")
-    y = F.least(F.lit(17), F.greatest(F.lit(0), F.floor((F.col("y") + F.col("h")) / 20))).cast("int")
-    return det.withColumn("y_bin", y).join(F.broadcast(prior), ["camera_id", "y_bin"]).where("w > 1.2D * median_w or w * h > 1.5D * median_a").select("det_id")
+    own = with_priors(det.select("camera_id", "det_id", "x", "y", "w", "h"), cal.size_priors(ground_truth(det)))
+    settings = [ProposalSettings(split_gamma_width=1.2, split_gamma_area=1.5, split_by_q90=q) for q in (False, True)]
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            found = [[triggered(box, "h", s, prior_of(box, r["priors"])) for r in rows for box in [(r["x"], r["y"], r["w"], r["h"])]] for s in settings]
+            yield pa.RecordBatch.from_arrays([b["det_id"], *(pa.array(f, pa.bool_()) for f in found)], names=["det_id", "by_median", "by_q90"])
+
+    return own.where("priors IS NOT NULL").mapInArrow(run, "det_id long, by_median boolean, by_q90 boolean").where("by_median OR by_q90")
 
 
 @query(
@@ -478,7 +539,7 @@ def q_best_confidence(spark, d):
 # ---------------------------------------------------------------- artifacts and studies
 
 
-@query(f"{WITH_DET} SELECT camera_id, count(*) AS n, CAST(sum(x + y) AS BIGINT) AS checksum, min('{{}}' || lpad(CAST(frame_id AS VARCHAR), 6, '0')) AS first FROM det WHERE frame_id < 200 GROUP BY 1".replace("'{}' || ", ""))
+@query(f"{WITH_DET} SELECT camera_id, count(*) AS n, CAST(sum(x + y) AS BIGINT) AS checksum, min('{{}}' || lpad(CAST(frame_id AS VARCHAR), 6, '0')) AS first FROM det GROUP BY 1".replace("'{}' || ", ""))
 def q_artifact_roundtrip(spark, d):
     from ..sources.readers import parse_proposals
     from ..sources.sinks import proposal_payload
@@ -535,7 +596,7 @@ def q_disjoint_arrays(spark, d):
     return own.where("size(p) > 0 and size(q) > 0").select("frame_id", F.arrays_overlap("p", "q").alias("met"))
 
 
-@query(f"{WITH_DET} SELECT frame_id // 10 AS gop, count(*) AS n FROM det WHERE det_id < 4000 GROUP BY 1")
+@query(f"{WITH_DET} SELECT frame_id // 10 AS gop, count(*) AS n FROM det GROUP BY 1")
 def q_stream_gop_window(spark, d):
     """Streams the events' files to their end through event-time windows and reads the sink."""
     from .streams import gop_windows
@@ -543,7 +604,7 @@ def q_stream_gop_window(spark, d):
     return gop_windows(spark, d)
 
 
-@query(f"{WITH_DET}, f AS (SELECT camera_id, frame_id, CAST(sum(w) % 200 AS BIGINT) AS v FROM det WHERE frame_id < 60 GROUP BY 1, 2), s AS (SELECT *, lag(v) OVER (PARTITION BY camera_id ORDER BY frame_id) AS p FROM f) SELECT camera_id, count(*) AS frames, count(*) FILTER (p IS NOT NULL AND abs(v - p) > 25) AS moved FROM s GROUP BY 1")
+@query(f"{WITH_DET}, f AS (SELECT camera_id, frame_id, CAST(sum(w) % 200 AS BIGINT) AS v FROM det GROUP BY 1, 2), s AS (SELECT *, lag(v) OVER (PARTITION BY camera_id ORDER BY frame_id) AS p FROM f) SELECT camera_id, count(*) AS frames, count(*) FILTER (p IS NOT NULL AND abs(v - p) > 25) AS moved FROM s GROUP BY 1")
 def q_stream_absdiff_state(spark, d):
     """A one-pixel camera a stream: running background with a rate of one, kept as state."""
     from .streams import absdiff_state

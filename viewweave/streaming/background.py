@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ProposalSettings
-from ..operators.enhance import PROPOSED, propose_camera
+from ..operators import images as im
+from ..operators.enhance import FOREGROUND, PROPOSED, foreground_camera, propose_camera
 
 STATE = "seen long, model binary"
 
@@ -22,15 +20,29 @@ def propose_stream(frames: DataFrame, s: ProposalSettings = ProposalSettings())
         seen, model = 0, None
         if state.exists:
             seen, blob = state.get
-            model = pickle.loads(blob) if blob else None
+            model = im.load_model(blob)
         rows = pd.concat(list(batches)).sort_values("frame_id").to_dict("records")
         found, (seen, model) = propose_camera(rows, s, (int(seen), model))
-        state.update((int(seen), pickle.dumps(None if model is None else np.asarray(model))))
-        yield pd.DataFrame(found, columns=["proposal_id", "camera_id", "frame_id", "bbox", "score", "tag"])
+        state.update((int(seen), im.dump_model(model)))
+        yield pd.DataFrame(found, columns=["proposal_id", "camera_id", "frame_id", "bbox", "score", "tag", "splits"])
 
     return frames.groupBy("camera_id").applyInPandasWithState(run, PROPOSED, STATE, "append", "NoTimeout")
 
 
+def foreground_stream(frames: DataFrame, s: ProposalSettings = ProposalSettings()) -> DataFrame:
+    """foreground_camera() over a stream of frames; per camera the state is the frames seen and the background."""
+    import pandas as pd
+
+    def run(key, batches, state):
+        seen, blob = state.get if state.exists else (0, None)
+        rows = pd.concat(list(batches)).sort_values("frame_id").to_dict("records")
+        found, (seen, model) = foreground_camera(rows, s, (int(seen), im.load_model(blob)))
+        state.update((int(seen), im.dump_model(model)))
+        yield pd.DataFrame(found, columns=["camera_id", "frame_id", "seen", "warm", "pixels"])
+
+    return frames.groupBy("camera_id").applyInPandasWithState(run, FOREGROUND, STATE, "append", "NoTimeout")
+
+
 def with_event_time(frames: DataFrame, fps: float = 10.0) -> DataFrame:
     """Adds ts, from the 1-based frame number."""
     return frames.withColumn("ts", F.timestamp_seconds((F.col("frame_id") - 1) / F.lit(fps)))
