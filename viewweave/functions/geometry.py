@@ -168,23 +168,24 @@ def pair_list(text: Column, outer: str = ",", inner: str = ":") -> Column:
 
 
 def launch_plan(count: int, latency: dict[int, float] | None) -> list[int]:
-    """Batches that cover `count` bins at the least latency, then in the fewest launches, then the lexicographically largest."""
-    sizes = sorted((int(k) for k in latency or {} if int(k) > 0), reverse=True)
+    """Batches that cover `count` bins at the least latency, then in the fewest launches, then the lexicographically largest.
+
+    A plan's rank is one key; latencies count in whole 1e-9 ms, so that sums that differ only by rounding tie.
+    """
     if count <= 0:
         return []
+    sizes = {int(k): round(float(v) * 1e9) for k, v in (latency or {}).items() if int(k) > 0}
     if not sizes:
         return [count]
-    best: list[tuple[float, int, tuple[int, ...]] | None] = [(0.0, 0, ())] + [None] * count
+    plans: dict[int, tuple[int, int, tuple[int, ...]]] = {0: (0, 0, ())}
     for total in range(1, count + 1):
-        for last in sizes:
-            if last <= total and (before := best[total - last]) is not None:
-                now = (before[0] + float(latency[last]), before[1] + 1, (*before[2], last))
-                held = best[total]
-                if held is None or now[0] < held[0] - 1e-9 or abs(now[0] - held[0]) <= 1e-9 and (now[1] < held[1] or now[1] == held[1] and now[2] > held[2]):
-                    best[total] = now
-    if best[count] is None:
+        # negated batches make the largest plan the smallest key; each plan is extended at its end
+        extended = [(plans[total - k][0] + ms, plans[total - k][1] + 1, (*plans[total - k][2], -k)) for k, ms in sizes.items() if total - k in plans]
+        if extended:
+            plans[total] = min(extended)
+    if count not in plans:
         raise ValueError(f"no batches of {sorted(sizes)} make {count} bins")
-    return list(best[count][2])
+    return [-k for k in plans[count][2]]
 
 
 def register_functions(spark: SparkSession) -> None:
@@ -194,7 +195,8 @@ def register_functions(spark: SparkSession) -> None:
 
     box = lambda p: f"{p}x1 DOUBLE, {p}y1 DOUBLE, {p}x2 DOUBLE, {p}y2 DOUBLE"
     inter = "greatest(0D, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0D, least(ay2, by2) - greatest(ay1, by1))"
-    union = f"((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - {inter})"
+    size = lambda p: f"greatest(0D, {p}x2 - {p}x1) * greatest(0D, {p}y2 - {p}y1)"
+    union = f"({size('a')} + {size('b')} - {inter})"
     for sql in (
         f"vw_iou({box('a')}, {box('b')}) RETURNS DOUBLE RETURN CASE WHEN {union} > 0 THEN {inter} / {union} ELSE 0D END",
         "vw_area(w BIGINT, h BIGINT) RETURNS BIGINT RETURN greatest(0, w) * greatest(0, h)",

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance
+from ..functions.geometry import distance, project
+from .matching import counted_broadcast
 
 
 def tracks(gt: DataFrame) -> DataFrame:
@@ -71,18 +72,41 @@ def ransac_plane(src: np.ndarray, ref: np.ndarray, threshold: float = 3.0, round
     return fit_plane(src[best], ref[best]), best
 
 
+def all_correspondences(points: DataFrame, pairs: list[tuple[str, str]], start: int | None = None, end: int | None = None) -> DataFrame:
+    """correspondences() of several pairs of cameras: src_cam, ref_cam, frame_id, object_id, sx, sy, rx, ry."""
+    own = points
+    if start is not None:
+        own = own.where(F.col("frame_id") >= start)
+    if end is not None:
+        own = own.where(F.col("frame_id") <= end)
+    spec = points.sparkSession.createDataFrame(pairs, "src_cam string, ref_cam string")  # as given
+    a = own.join(F.broadcast(spec), F.col("camera_id") == F.col("src_cam")).select("src_cam", "ref_cam", "frame_id", "object_id", F.col("px").alias("sx"), F.col("py").alias("sy"))
+    b = own.select(F.col("camera_id").alias("ref_cam"), "frame_id", "object_id", F.col("px").alias("rx"), F.col("py").alias("ry"))
+    return a.join(b, ["ref_cam", "frame_id", "object_id"])
+
+
+FIT_POINTS = 20_000  # of a pair, about: the seeded sample that a homography is fitted on
+
+
 def fit_homographies(points: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """Per pair (src_cam, ref_cam): H, inliers, n, from correspondences sx, sy, rx, ry; pairs of fewer than four points are left out."""
+    """Per pair (src_cam, ref_cam): H, inliers, n, from correspondences sx, sy, rx, ry; pairs of fewer than four points are left out.
+
+    A pair of more than FIT_POINTS distinct correspondences is fitted on those of the smallest hashes, in that number.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         src = np.stack([np.asarray(table[c]) for c in ("sx", "sy")], 1)
         ref = np.stack([np.asarray(table[c]) for c in ("rx", "ry")], 1)
         order = np.lexsort((ref[:, 1], ref[:, 0], src[:, 1], src[:, 0]))
         found = ransac_plane(src[order], ref[order], threshold)
-        rows = [] if found is None else [{"src_cam": table["src_cam"][0].as_py(), "ref_cam": table["ref_cam"][0].as_py(), "H": found[0].tolist(), "inliers": int(found[1].sum()), "n": len(src)}]
+        rows = [] if found is None else [{"src_cam": table["src_cam"][0].as_py(), "ref_cam": table["ref_cam"][0].as_py(), "H": found[0].tolist(), "inliers": int(found[1].sum()), "n": table["total"][0].as_py()}]
         return pa.Table.from_pylist(rows, pa.schema([("src_cam", pa.string()), ("ref_cam", pa.string()), ("H", pa.list_(pa.list_(pa.float64()))), ("inliers", pa.int64()), ("n", pa.int64())]))
 
-    return points.select("src_cam", "ref_cam", "sx", "sy", "rx", "ry").distinct().groupBy("src_cam", "ref_cam").applyInArrow(run, "src_cam string, ref_cam string, H array<array<double>>, inliers long, n long")
+    own = points.select("src_cam", "ref_cam", "sx", "sy", "rx", "ry").distinct()
+    total = own.groupBy("src_cam", "ref_cam").agg(F.count("*").alias("total"))
+    place = (F.pmod(F.xxhash64("sx", "sy", "rx", "ry"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    some = own.join(counted_broadcast(total), ["src_cam", "ref_cam"]).where(place * F.col("total") <= FIT_POINTS)
+    return some.groupBy("src_cam", "ref_cam").applyInArrow(run, "src_cam string, ref_cam string, H array<array<double>>, inliers long, n long")
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -103,7 +127,17 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
 
 
 def overlap_regions(points: DataFrame) -> DataFrame:
-    """Per pair the hull of co-visible source points (array of x, y) and its area; null with fewer than three corners."""
+    """Per pair the hull of co-visible source points (array of x, y) and its area; null with fewer than three corners.
+
+    Each task sends only the corners of its own points' hulls; their hull is the pair's.
+    """
+
+    def corners(batches):
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            pairs = table.group_by(["src_cam", "ref_cam"]).aggregate([("sx", "list"), ("sy", "list")]).to_pylist()
+            out = [(r["src_cam"], r["ref_cam"], float(x), float(y)) for r in pairs for x, y in convex_hull(np.stack([r["sx_list"], r["sy_list"]], 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["src_cam", "ref_cam", "sx", "sy"])
 
     def run(table: pa.Table) -> pa.Table:
         hull = convex_hull(np.stack([np.asarray(table[c]) for c in ("sx", "sy")], 1))
@@ -112,7 +146,8 @@ def overlap_regions(points: DataFrame) -> DataFrame:
         size = abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
         return pa.Table.from_pylist([{"src_cam": table["src_cam"][0].as_py(), "ref_cam": table["ref_cam"][0].as_py(), "hull": [{"x": float(a), "y": float(b)} for a, b in hull] if ok else None, "area": size}], pa.schema([("src_cam", pa.string()), ("ref_cam", pa.string()), ("hull", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("area", pa.float64())]))
 
-    return points.select("src_cam", "ref_cam", "sx", "sy").distinct().groupBy("src_cam", "ref_cam").applyInArrow(run, "src_cam string, ref_cam string, hull array<struct<x:double,y:double>>, area double")
+    thin = points.select("src_cam", "ref_cam", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy")).mapInArrow(corners, "src_cam string, ref_cam string, sx double, sy double")
+    return thin.groupBy("src_cam", "ref_cam").applyInArrow(run, "src_cam string, ref_cam string, hull array<struct<x:double,y:double>>, area double")
 
 
 def error_stats(errors: DataFrame, value: str = "err", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -122,10 +157,20 @@ def error_stats(errors: DataFrame, value: str = "err", keys: tuple[str, ...] = (
     return out.select(*keys, "n", "mean", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p95"))
 
 
-def error_cdf(errors: DataFrame, value: str, order: str, key: str) -> DataFrame:
-    """The empirical distribution within each key: rank over count."""
-    over = Window.partitionBy(key)
-    return errors.withColumn("cdf", F.row_number().over(over.orderBy(value, order)) / F.count("*").over(over))
+def error_cdf(errors: DataFrame, value: str, order: str, key: str, ranges: int = 64) -> DataFrame:
+    """The empirical distribution within each key: rank (by value, then order) over count.
+
+    A key's values are cut in ranges at approximate quantiles: ranks are counted within a range, after the rows of the ranges below.
+    """
+    cuts = errors.groupBy(key).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("_cuts"))
+    cut = errors.join(counted_broadcast(cuts.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key"))).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", "_key")
+    sums = cut.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    over = Window.partitionBy("_key")
+    below = F.coalesce(F.sum("_n").over(over.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_key", "_r", below.alias("_below"), F.sum("_n").over(over).alias("_all"))
+    met = cut.join(counted_broadcast(sums), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    rank = F.col("_below") + F.row_number().over(Window.partitionBy(key, "_range").orderBy(value, order))
+    return met.withColumn("cdf", rank / F.col("_all")).drop("_key", "_r", "_range", "_below", "_all")
 
 
 def same_diff_pairs(points: DataFrame, pairs: list[tuple[str, str]], cap: int | None = None) -> DataFrame:
@@ -193,8 +238,34 @@ def four_points(points: DataFrame, key: str = "pair") -> DataFrame:
     corners = box.select(key, F.posexplode(F.array(*(F.struct(F.col(a).alias("cx"), F.col(b).alias("cy")) for a, b in (("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x1", "y1"))))).alias("corner", "c"))
     d = F.pow(F.col("sx") - F.col("c.cx"), 2) + F.pow(F.col("sy") - F.col("c.cy"), 2)
     # each corner needs only its four nearest: at most three were taken before
-    ranked = points.join(F.broadcast(corners), key).withColumn("d2", d).withColumn("_r", F.row_number().over(Window.partitionBy(key, "corner").orderBy("d2", "idx"))).where("_r <= 4")
+    ranked = points.join(counted_broadcast(corners), key).withColumn("d2", d).withColumn("_r", F.row_number().over(Window.partitionBy(key, "corner").orderBy("d2", "idx"))).where("_r <= 4")
     lists = ranked.groupBy(key, "corner").agg(F.array_sort(F.collect_list(F.struct("d2", "idx", "sx", "sy"))).alias("near")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("corner", "near"))).alias("all"))
     start = F.filter(F.col("all")[0].near, lambda _: F.lit(False))
     pick = F.aggregate("all", start, lambda acc, c: F.concat(acc, F.slice(F.filter(c.near, lambda p: ~F.exists(acc, lambda q: q.idx == p.idx)), 1, 1)))
     return lists.select(key, F.posexplode(pick).alias("corner", "p")).select(key, "corner", "p.idx", "p.sx", "p.sy")
+
+
+def projected_pairs(points: DataFrame, planes: DataFrame) -> DataFrame:
+    """Per frame every pair of points of two cameras: its distance after projection by planes (src_cam, ref_cam, H) and whether the object is the same."""
+    x, y = project(F.col("H"), F.col("px"), F.col("py"))
+    a = points.join(counted_broadcast(planes.select("src_cam", "ref_cam", "H")), F.col("camera_id") == F.col("src_cam")).select("frame_id", F.col("src_cam").alias("src"), F.col("ref_cam").alias("ref"), F.col("object_id").alias("oa"), x.alias("ax"), y.alias("ay"))
+    b = points.select("frame_id", F.col("camera_id").alias("ref"), F.col("object_id").alias("ob"), F.col("px").alias("bx"), F.col("py").alias("by"))
+    return a.join(b, ["frame_id", "ref"]).where("ax IS NOT NULL").select("frame_id", "src", "ref", "oa", "ob", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("d"), (F.col("oa") == F.col("ob")).alias("same"))
+
+
+def calibrate(gt: DataFrame, pairs: list[tuple[str, str]], start: int | None = None, end: int | None = None, threshold: float = 3.0, margin: float = 20.0) -> DataFrame:
+    """The calibration run: for each pair with at least four correspondences its homography, overlap hulls, best threshold and F1, errors, and margin.
+
+    gt has camera_id, frame_id, object_id, x, y, w, h. Without a pair of the same object tau and pair_f1 are 0.
+    """
+    points = tracks(gt)
+    met = all_correspondences(points, pairs, start, end)
+    planes = fit_homographies(met, threshold)
+    src = overlap_regions(met).select("src_cam", "ref_cam", F.col("hull").alias("hull_src"))
+    ref = overlap_regions(met.select("src_cam", "ref_cam", F.col("rx").alias("sx"), F.col("ry").alias("sy"))).select("src_cam", "ref_cam", F.col("hull").alias("hull_ref"))
+    apart = projected_pairs(points, planes)
+    best = best_tau(tau_sweep(apart)).where("tp + fn > 0").select(F.col("src").alias("src_cam"), F.col("ref").alias("ref_cam"), F.col("tau").alias("t"), F.col("f1").alias("f"))
+    errors = error_stats(apart.where("same"), "d", ("src", "ref")).select(F.col("src").alias("src_cam"), F.col("ref").alias("ref_cam"), F.col("mean").alias("error_mean"), F.col("median").alias("error_median"), F.col("p95").alias("error_p95"))
+    key = ["src_cam", "ref_cam"]
+    out = planes.join(src, key, "left").join(ref, key, "left").join(best, key, "left").join(errors, key, "left")
+    return out.select(*key, "H", "hull_src", "hull_ref", F.coalesce("t", F.lit(0.0)).alias("tau"), F.coalesce("f", F.lit(0.0)).alias("pair_f1"), F.lit(margin).alias("margin"), "inliers", "n", "error_mean", "error_median", "error_p95")

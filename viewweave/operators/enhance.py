@@ -42,17 +42,21 @@ def constant_detector(_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def sharpness(views: DataFrame, frames: DataFrame) -> DataFrame:
-    """Adds sharpness (Laplacian variance of the crop) to views (camera_id, frame_id, x, y, w, h); views without a frame have 0."""
+    """Adds sharpness (Laplacian variance of the crop) to views (camera_id, frame_id, x, y, w, h); views without a frame have 0.
+
+    The views of a frame meet its pixels as one group, so that these move and are decoded once, however many views there are.
+    """
     names = views.columns
-    met = views.join(frames, ["camera_id", "frame_id"], "left").select(*names, "height", "width", "n_channels", "data")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in views.schema)
 
-    def run(batches):
-        for b in batches:
-            out = [im.laplacian_variance(im.crop(unpack(r), (r["x"], r["y"], r["w"], r["h"]))) if r["data"] else 0.0 for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(out, pa.float64())], names=[*names, "sharpness"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        image = unpack(right.slice(0, 1).to_pylist()[0]) if right.num_rows else None
+        boxes = zip(*(left[c].to_pylist() for c in "xywh"))
+        return left.append_column("sharpness", pa.array([0.0 if image is None else im.laplacian_variance(im.crop(image, box)) for box in boxes], pa.float64()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in views.schema)
-    return met.mapInArrow(run, schema + ", sharpness double")
+    key = ["camera_id", "frame_id"]
+    pixels = frames.join(views.select(*key).distinct(), key, "left_semi").select(*key, "height", "width", "n_channels", "data")
+    return views.select(*names).groupBy(*key).cogroup(pixels.groupBy(*key)).applyInArrow(run, schema + ", sharpness double")
 
 
 FOREGROUND = "camera_id string, frame_id bigint, seen bigint, warm boolean, pixels bigint"
@@ -149,20 +153,25 @@ def split_events(proposals: DataFrame) -> DataFrame:
 
 
 def materialise_bins(placements: DataFrame, frames: DataFrame, size: BinSize = BinSize()) -> DataFrame:
-    """(gop, bin_idx, height, width, n_channels, data): each bin's patches cut from their frames and put in place; missing frames are skipped."""
-    on = (F.col("p.cam_id") == F.col("f.camera_id")) & (F.col("p.frame_id") == F.col("f.frame_id"))
-    met = placements.alias("p").join(frames.alias("f"), on)
+    """(gop, bin_idx, height, width, n_channels, data): each bin's patches cut from their frames and put in place; missing frames are skipped.
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                box = r["orig_bbox"]
-                patch = im.crop(unpack(r), tuple(box[k] for k in "xywh"))
-                out.append(im.resize(patch, r["bw"], r["bh"]).tobytes() if patch.size else None)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("gop", "bin_idx", "bx", "by", "bw", "bh")), pa.array(out, pa.binary())], names=["gop", "bin_idx", "bx", "by", "bw", "bh", "patch"])
+    The placements of a frame meet its pixels as one group; only patches go on to their bins.
+    """
+    kinds = {"gop": pa.int64(), **{c: pa.int32() for c in ("bin_idx", "bx", "by", "bw", "bh")}, "patch": pa.binary()}
 
-    patches = met.select("p.gop", "p.bin_idx", "p.bx", "p.by", "p.bw", "p.bh", "p.orig_bbox", "f.height", "f.width", "f.n_channels", "f.data").mapInArrow(cut, "gop long, bin_idx int, bx int, by int, bw int, bh int, patch binary")
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if right.num_rows:
+            image = unpack(right.slice(0, 1).to_pylist()[0])
+            for r in left.to_pylist():
+                patch = im.crop(image, tuple(r["orig_bbox"][k] for k in "xywh"))
+                out.append([r[c] for c in ("gop", "bin_idx", "bx", "by", "bw", "bh")] + [im.resize(patch, r["bw"], r["bh"]).tobytes() if patch.size else None])
+        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(kinds.items())})
+
+    own = placements.select("gop", F.col("cam_id").alias("camera_id"), "frame_id", "bin_idx", "bx", "by", "bw", "bh", "orig_bbox")
+    key = ["camera_id", "frame_id"]
+    pixels = frames.join(own.select(*key).distinct(), key, "left_semi").select(*key, "height", "width", "n_channels", "data")
+    patches = own.groupBy(*key).cogroup(pixels.groupBy(*key)).applyInArrow(cut, "gop long, bin_idx int, bx int, by int, bw int, bh int, patch binary")
 
     def paste(table: pa.Table) -> pa.Table:
         canvas = np.zeros((size.height, size.width, 3), np.uint8)
@@ -213,19 +222,22 @@ def blend_back(frames: DataFrame, placements: DataFrame, enhanced: DataFrame, sc
 
     Each placement takes its own patch out of its bin before it meets its frame, so whole bins do not go to frames.
     """
-    on = (F.col("p.gop") == F.col("b.gop")) & (F.col("p.bin_idx") == F.col("b.bin_idx"))
-    met = placements.withColumn("ord", F.struct("bin_idx", "by", "bx", "cluster_id")).alias("p").join(enhanced.alias("b"), on)
+    ord_kind = pa.struct([("bin_idx", pa.int32()), ("by", pa.int32()), ("bx", pa.int32()), ("cluster_id", pa.string())])
+    cut_kinds = {"camera_id": pa.string(), "frame_id": pa.int64(), "ord": ord_kind, "orig_bbox": pa.struct([(k, pa.int32()) for k in "xywh"]), "bw": pa.int32(), "bh": pa.int32(), "patch": pa.binary()}
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                image = unpack(r)
-                out.append(image[r["by"] * scale : (r["by"] + r["bh"]) * scale, r["bx"] * scale : (r["bx"] + r["bw"]) * scale].tobytes())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("camera_id", "frame_id", "ord", "orig_bbox", "bw", "bh")), pa.array(out, pa.binary())], names=["camera_id", "frame_id", "ord", "orig_bbox", "bw", "bh", "patch"])
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if right.num_rows:
+            image = unpack(right.slice(0, 1).to_pylist()[0])
+            for r in left.to_pylist():
+                patch = image[r["by"] * scale : (r["by"] + r["bh"]) * scale, r["bx"] * scale : (r["bx"] + r["bw"]) * scale]
+                out.append({**{c: r[c] for c in ("camera_id", "frame_id", "orig_bbox", "bw", "bh")}, "ord": {c: r[c] for c in ("bin_idx", "by", "bx", "cluster_id")}, "patch": patch.tobytes()})
+        return pa.Table.from_pylist(out, pa.schema(list(cut_kinds.items())))
 
     schema = f"camera_id string, frame_id long, ord struct<bin_idx:int,by:int,bx:int,cluster_id:string>, orig_bbox {BBOX}, bw int, bh int, patch binary"
-    patches = met.select(F.col("p.cam_id").alias("camera_id"), "p.frame_id", "p.ord", "p.orig_bbox", "p.bx", "p.by", "p.bw", "p.bh", "b.height", "b.width", "b.n_channels", "b.data").mapInArrow(cut, schema)
+    own = placements.select("gop", "bin_idx", F.col("cam_id").alias("camera_id"), "frame_id", "cluster_id", "orig_bbox", "bx", "by", "bw", "bh")
+    whole = enhanced.select("gop", "bin_idx", "height", "width", "n_channels", "data")
+    patches = own.groupBy("gop", "bin_idx").cogroup(whole.groupBy("gop", "bin_idx")).applyInArrow(cut, schema)
     kinds = pa.schema([("camera_id", pa.string()), ("frame_id", pa.int64()), *((k, pa.int32()) for k in ("height", "width", "n_channels")), ("data", pa.binary())])
 
     def paste(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -133,11 +133,15 @@ def output_kind(outputs: Column, last_dim: Column) -> Column:
 
 
 def output_roles(tensors: DataFrame) -> DataFrame:
-    """(engine, num, boxes, scores, labels): roles of tensors (engine, position, name, last_dim, rank, dtype); names first, then position."""
+    """(engine, num, boxes, scores, labels): roles of tensors (engine, position, name, last_dim, rank, dtype); names first, then position. A role without a tensor is an error."""
     name = F.lower("name")
     role = F.when(name.contains("num"), "num").when(name.contains("box") | ((F.col("rank") >= 2) & (F.col("last_dim") == 4)), "boxes").when(name.contains("score") | name.contains("conf"), "scores").when(name.contains("label") | name.contains("class"), "labels").when(F.col("dtype") == "int32", "weak")
     named = tensors.withColumn("role", role)
     last = lambda r: F.max_by("name", F.when(F.col("role") == r, F.col("position")))
     first_weak = F.min_by("name", F.when(F.col("role") == "weak", F.col("position")))
     by_place = [F.max(F.when(F.col("position") == i, F.col("name"))) for i in range(4)]
-    return named.groupBy("engine").agg(F.coalesce(last("num"), by_place[0]).alias("num"), F.coalesce(last("boxes"), by_place[1]).alias("boxes"), F.coalesce(last("scores"), by_place[2]).alias("scores"), F.coalesce(last("labels"), first_weak, by_place[3]).alias("labels"))
+    roles = named.groupBy("engine").agg(F.coalesce(last("num"), by_place[0]).alias("num"), F.coalesce(last("boxes"), by_place[1]).alias("boxes"), F.coalesce(last("scores"), by_place[2]).alias("scores"), F.coalesce(last("labels"), first_weak, by_place[3]).alias("labels"))
+    known = [F.col(c) for c in ("num", "boxes", "scores", "labels")]
+    missing = F.concat_ws(", ", *(F.when(c.isNull(), F.lit(n)) for c, n in zip(known, ("num", "boxes", "scores", "labels"))))
+    whole = F.when(missing == "", F.col("num")).otherwise(F.raise_error(F.concat(F.lit("no output of engine "), "engine", F.lit(" for "), missing)))
+    return roles.withColumn("num", whole)

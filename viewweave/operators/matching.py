@@ -57,15 +57,19 @@ def fold_clusters(edge_rows: list[tuple], cameras: dict) -> dict:
     return {n: low[r] for n, r in root.items()}
 
 
-def clusters(props: DataFrame, matched: DataFrame) -> DataFrame:
-    """(frame_id, proposal_id, camera_id, cluster): clusters named by their smallest proposal; each holds a camera once."""
+def clusters(props: DataFrame, matched: DataFrame, offline: bool = False) -> DataFrame:
+    """(frame_id, proposal_id, camera_id, cluster): clusters named by their smallest proposal; each holds a camera once.
+
+    Edges are taken by falling score, then by distance and names; offline by score alone, equal ones as they arise: by cameras, then names.
+    """
     node = props.select("frame_id", F.lit(0).alias("kind"), F.col("proposal_id").cast("string").alias("a"), F.col("camera_id").alias("b"), F.lit(0.0).alias("s"), F.lit(0.0).alias("d"))
     link = matched.select("frame_id", F.lit(1).alias("kind"), F.col("src").cast("string").alias("a"), F.col("ref").cast("string").alias("b"), F.col("score").alias("s"), F.col("distance").alias("d"))
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table[c].to_pylist() for c in ("kind", "a", "b", "s", "d"))))
         cameras = {a: b for k, a, b, _, _ in rows if not k}
-        order = sorted((r for r in rows if r[0]), key=lambda r: (-r[3], r[4], r[1], r[2]))
+        arises = lambda r: (cameras.get(r[1], ""), cameras.get(r[2], ""), r[1], r[2])
+        order = sorted((r for r in rows if r[0]), key=lambda r: (-r[3], *arises(r)) if offline else (-r[3], r[4], r[1], r[2]))
         label = fold_clusters([(r[1], r[2]) for r in order], cameras)
         names = sorted(cameras)
         return pa.table({"frame_id": pa.array([table["frame_id"][0].as_py()] * len(names), pa.int64()), "proposal_id": names, "camera_id": [cameras[n] for n in names], "cluster": [label[n] for n in names]})
@@ -80,6 +84,13 @@ def name_clusters(clustered: DataFrame) -> DataFrame:
     return place.withColumn("cluster_id", F.format_string("f%06d_c%04d", "frame_id", F.dense_rank().over(Window.partitionBy("frame_id").orderBy("_first")) - 1)).drop("_n", "_first")
 
 
+def offline_clusters(points: DataFrame, pairs: DataFrame, min_f1: float = 0.5) -> DataFrame:
+    """Clusters of whole recordings: strong pairs, edges below their threshold, and the offline order; frames of fewer than two boxes are left out."""
+    many = points.groupBy("frame_id").count().where("count >= 2").select("frame_id")
+    own = points.join(many, "frame_id", "left_semi")
+    return clusters(own, edges(own, strong_pairs(pairs, min_f1), inclusive=False), offline=True)
+
+
 def single_view_clusters(props: DataFrame) -> DataFrame:
     """One cluster a proposal: cluster_id f%06d_camera_p%04d with a running index over sorted cameras."""
     n = F.row_number().over(Window.partitionBy("frame_id").orderBy("camera_id", "proposal_id")) - 1

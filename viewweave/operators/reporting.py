@@ -50,6 +50,11 @@ def max_view_saving(targets: DataFrame) -> DataFrame:
     return per.groupBy(F.col("views").alias("cam_num")).agg(F.count("*").alias("objects"), F.sum("views").alias("all_count"), F.sum(F.when(F.col("views") == 1, F.col("views")).otherwise(1)).alias("max_count"), F.sum("all_area").alias("all_area"), F.sum("max_area").alias("max_area"))
 
 
+def examples(rows: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows in an order, for a look at them."""
+    return rows.orderBy(*order).limit(n)
+
+
 def split_diagnostics(events: DataFrame, statuses: list[str]) -> DataFrame:
     """Counts by axis and status, a column a status."""
     return events.groupBy("axis").pivot("status", statuses).count().fillna(0)

@@ -54,6 +54,14 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metric_rows(metrics).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_benchmark(stats: DataFrame, path: str) -> None:
+    """The rows of reporting.latency_stats() by batch, as one CSV file and as one JSON document beside it."""
+    rows = stats.orderBy(stats.columns[0])
+    rows.coalesce(1).write.mode("overwrite").csv(f"{path}/csv", header=True)
+    doc = rows.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("rows"))  # a row a batch size
+    doc.select(F.to_json(F.struct("rows"))).write.mode("overwrite").text(f"{path}/json")
+
+
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 
