@@ -193,6 +193,31 @@ def q_clusters(spark, d):
     return _clusters(spark, d).select("frame_id", "det_id", "cluster")
 
 
+OFFLINE_SQL = CLUSTER_SQL.replace("ORDER BY 1 - d / tau DESC, d, src, ref", "ORDER BY 1 - d / tau DESC, src_camera, ref_camera, src, ref").replace("FROM edges WHERE d <= tau)", "FROM edges WHERE d < tau)")
+
+
+@query(f"{OFFLINE_SQL} SELECT frame_id, det_id, cluster FROM clus")
+def q_offline_clusters(spark, d):
+    """Clusters in the order of whole recordings; every frame of the events has more than one box."""
+    props = detections(spark, d).withColumn("proposal_id", F.lpad(F.col("det_id").cast("string"), 12, "0"))
+    own = ma.offline_clusters(props, pairs(spark))
+    return own.select("frame_id", F.col("proposal_id").cast("long").alias("det_id"), F.col("cluster").cast("long").alias("cluster"))
+
+
+@query(f"{WITH_DET} SELECT camera_id, frame_id, row_number() OVER (ORDER BY camera_id, frame_id) - 1 AS target FROM (SELECT DISTINCT camera_id, frame_id FROM det WHERE score > 0.6)")
+def q_detect_targets(spark, d):
+    from ..operators.enhance import detect_targets
+
+    det = detections(spark, d)
+    return detect_targets(pixel_frames(det), det.where("score > 0.6")).select("camera_id", "frame_id", "target")
+
+
+@query(f"{WITH_DET}, f AS (SELECT DISTINCT frame_id, frame_id // 10 AS gop FROM det) SELECT gop, frame_id, max(frame_id) OVER (PARTITION BY gop) + 1 AS next_start FROM f")
+def q_next_gop_start(spark, d):
+    frames = detections(spark, d).select("frame_id").distinct().select(g.gop_of(F.col("frame_id"), 10, 0).alias("gop"), "frame_id")
+    return pk.next_gop_start(frames).select("gop", "frame_id", "next_start")
+
+
 @query(f"{WITH_DET} SELECT det_id, 'f' || lpad(CAST(frame_id AS VARCHAR), 6, '0') || '_' || camera_id || '_p' || lpad(CAST(row_number() OVER (PARTITION BY frame_id ORDER BY camera_id, det_id) - 1 AS VARCHAR), 4, '0') AS cluster_id FROM det")
 def q_single_view_clusters(spark, d):
     return ma.single_view_clusters(detections(spark, d).withColumnRenamed("det_id", "proposal_id")).select(F.col("proposal_id").alias("det_id"), "cluster_id")
