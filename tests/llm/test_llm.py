@@ -158,6 +158,64 @@ def test_language_model(docs):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_language_model_score_by_hand(spark, tmp_path):
+    """Bigram estimates, weights by EM on the deleted fold in buckets of the context's count, and every text's score."""
+    from viewweave.llm.lm import DELETED, TEST, score_texts
+
+    rng = random.Random(4)
+    follow = {w: [rng.choice("abcdefghijklm") + str(rng.randrange(4)) for _ in range(4)] for w in (c + str(k) for c in "abcdefghijklm" for k in range(4))}
+    rows = []
+    for i in range(300):
+        w = rng.choice(list(follow))
+        t = [w]
+        for _ in range(rng.randrange(0, 60)):
+            w = rng.choice(follow[w]) if rng.random() < 0.8 else rng.choice(list(follow))
+            t.append(w if rng.random() < 0.97 else f"odd{rng.randrange(10**6)}")
+        rows.append((i, " ".join(t)))
+    rows += [(1000, None), (1001, ""), (1002, "Never SEEN words"), (7, rows[7][1])]
+    table = stored(spark, tmp_path / "d", rows, "doc_id long, text string", 3)
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    texts = [(i, [*words(t), 0]) for i, t in rows]
+    pairs_of = lambda t: list(zip([0, *t], t))  # noqa: E731  the end stands before the first word
+
+    def counts(keep):
+        one, two = Counter(), Counter()
+        for i, t in texts:
+            if keep(fold[i]):
+                one.update(t)
+                two.update(pairs_of(t))
+        return one, two
+
+    def base(one, w):
+        return (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
+
+    one, two = counts(lambda f: f not in (TEST, DELETED))
+    held = defaultdict(list)
+    for i, t in texts:
+        if fold[i] == DELETED:
+            for h, w in pairs_of(t):
+                # pairs that the whole training text knows, with their estimates from the other folds
+                if one[h]:
+                    held[one[h].bit_length() - 1].append((two[h, w] / one[h], base(one, w)))
+    weight = {}
+    for b, own in held.items():
+        m = 0.5
+        for _ in range(200):
+            m = sum(m * p / (m * p + (1 - m) * q) for p, q in own) / len(own)
+        weight[b] = min(m, 1 - 1e-6)
+    one, two = counts(lambda f: f != TEST)
+    got = defaultdict(list)
+    for r in score_texts(table).collect():
+        got[r.doc_id].append(r.score)
+    assert len(weight) >= 4
+    for i, t in texts:
+        want = 0.0
+        for h, w in pairs_of(t):
+            m = weight.get(one[h].bit_length() - 1, 0.0) if one[h] else 0.0
+            want += math.log10(m * (two[h, w] / one[h] if one[h] else 0.0) + (1 - m) * base(one, w))
+        assert all(abs(x - want) <= 0.01 * abs(want) + 0.01 for x in got[i]), (i, want, got[i])
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -188,6 +246,57 @@ def test_packing(docs):
         assert sum(a * b for a, b in zip(plan.bins, plan.each)) == sum(3 + n % 5 for n in range(1, 1500, 37)) and made
 
 
+def sequential_best_fit(lengths, cap):
+    """One item after the other, longest first, into the open bin of the smallest residual norm (or largest weighted dot product) that holds it."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        item = (n, 1, n * n)
+        size = (cap.tokens, cap.documents, cap.attention)
+
+        def score(left):
+            if cap.rule == "dot":
+                return -sum(w * a / c * b / c for w, a, b, c in zip(cap.weights, left, item, size)) / max(1e-12, sum(w * (a / c) ** 2 for w, a, c in zip(cap.weights, left, size)) ** 0.5)
+            return sum(w * ((a - b) / c) ** 2 for w, a, b, c in zip(cap.weights, left, item, size))
+
+        open_bins = [left for left in bins if all(a >= b for a, b in zip(left, item))]
+        if open_bins:
+            best = min(open_bins, key=score)
+        else:
+            best = list(size)
+            bins.append(best)
+        best[:] = [a - b for a, b in zip(best, item)]
+    return bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("documents,attention", [(2048, 2048**2), (5, 2048**2), (2048, 600_000), (6, 900_000)])
+def test_packing_keeps_every_constraint(rule, documents, attention):
+    """Each constraint binds in turn; bins hold what they may, and are as few as one item after the other gives."""
+    from viewweave.llm.packing import Capacity, best_fit
+
+    rng = random.Random(documents + attention)
+    cap = Capacity(documents=documents, attention=attention, rule=rule)
+    top = int(attention**0.5)
+    counts = Counter(min(top, max(1, int(rng.lognormvariate(5, 1.2)))) for _ in range(600))
+    plan, made = best_fit(counts, cap)
+    bins, seen = defaultdict(list), defaultdict(list)
+    for n, rank, first, many, each, offset in zip(plan.length, plan.rank, plan.bin, plan.bins, plan.each, plan.offset):
+        for b in range(many):
+            for k in range(each):
+                seen[n].append(rank + b * each + k)
+                bins[first + b].append((offset + k * n, n))
+    assert {n: sorted(r) for n, r in seen.items()} == {n: list(range(c)) for n, c in counts.items()} and set(bins) == set(range(made))
+    for own in bins.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= cap.tokens and len(own) <= documents and sum(n * n for _, n in own) <= attention
+    lengths = list(counts.elements())
+    least = max(-(-sum(lengths) // cap.tokens), -(-len(lengths) // documents), -(-sum(n * n for n in lengths) // attention))
+    assert least <= made <= 1.03 * len(sequential_best_fit(lengths, cap)) + 1
+
+
 def test_media(docs):
     from viewweave.llm.media import decode_thumbnails, describe_media, encode_payload, media_of_texts
 
@@ -380,7 +489,7 @@ def test_neighbours_of_any_scale_and_ties(spark, tmp_path):
 
 
 def test_warc(spark, tmp_path):
-    from viewweave.llm.warc import archive_and_read, export_segments, url_key, write_segments
+    from viewweave.llm.warc import archive_and_read, build_index, look_up, open_file, parse_record, read_captures, url_key, write_segments
 
     rows = [(1, "http://www.A.com:80/x?y#z", "<p>é</p>"), (2, None, None), (3, "https://b.org", "<p>é</p>"), (4, "no url\t\\", ""), (9, "http://b.org/q", "own\r\n\r\nbody")]
     table = stored(spark, tmp_path / "p", rows, "page_id long, url string, html string")
@@ -393,7 +502,36 @@ def test_warc(spark, tmp_path):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if last[h or ""] == i else ("revisit", last[h or ""]))
     assert url_key("http://www.A.com:80/x?y#z") == "com,a)/x?y"
-    assert export_segments(write_segments(table), str(tmp_path / "out")) >= 1
+    # the files are WARC files: a warcinfo member, then a member a record, to their last byte
+    segments = write_segments(table)
+    n = 0
+    for seg in segments.collect():
+        raw = open_file(seg.path).read()
+        kinds = []
+        while raw:
+            z = zlib.decompressobj(31)
+            kinds.append(parse_record(z.decompress(raw))[0]["warc-type"])
+            raw = z.unused_data
+        assert kinds[0] == "warcinfo" and len(kinds) == 1 + len(seg.entries)
+        n += len(kinds) - 1
+    assert n == len(rows)
+    wanted = segments.selectExpr("inline(entries)").where("page = 9").select("key", "row", "page")
+    one = read_captures(segments, look_up(build_index(segments), wanted), with_payload=True).collect()
+    assert [(r.page_id, bytes(r.payload)) for r in one] == [(9, b"own\r\n\r\nbody")]
+
+
+def test_warc_repeated_null_and_no_pages(spark, tmp_path, monkeypatch):
+    import viewweave.llm.warc as warc
+
+    monkeypatch.setattr(warc, "SHARD_ROWS", 3)
+    big = "x" * 200_000
+    rows = [(5, "http://a.org/1", "same"), (5, "http://a.org/1", "same"), (4, "http://a.org/1", "same"), (None, "http://a.org/1", "same"), (None, "http://z.org", "lone"), (8, None, big), (7, "http://a.org/9", big), *((100 + i, f"http://h{i}.org/", f"p{i}") for i in range(20))]
+    table = stored(spark, tmp_path / "p", [(*r, "x", 1) for r in rows], "page_id long, url string, html string, data string, segment int", 3)
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_and_read(table).collect())
+    want = Counter({(5, 4, "response", None): 2, (4, 4, "revisit", 5): 1, (None, 4, "revisit", 5): 1, (None, 4, "response", None): 1, (8, 200_000, "response", None): 1, (7, 200_000, "revisit", 8): 1})
+    want.update((100 + i, len(f"p{i}"), "response", None) for i in range(20))
+    assert got == want
+    assert warc.archive_and_read(table.limit(0)).count() == 0
 
 
 def test_quality(spark, docs, tmp_path):

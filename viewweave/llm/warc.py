@@ -1,21 +1,25 @@
 """WARC archives with a two-level capture index.
 
-Archives are segments: each is the content of one .warc.gz file (a warcinfo record, then one gzip member a record), kept as a
-binary row of a table in shared storage, so any store that Spark reaches holds them and a lost task writes them again alike.
-The index sorts reversed-host URL keys by range into shards of compressed blocks; the sparse directory is each block's first
-key. A look-up finds its shard among the shards' first keys, binary-searches the shard's directory, opens one block, binary-searches
-its lines, and reads one byte range of a segment.
+Archives are .warc.gz files (a warcinfo record, then one gzip member a record) in a folder of the shared store, written by the tasks.
+A task names its files anew each time it runs, and the table of segments names the files of the tasks that ended well, so a lost task
+leaves at most a file that nothing reads. The index sorts reversed-host URL keys by range into shards of compressed blocks; the sparse
+directory is each block's first key. A look-up finds its shard among the shards' first keys, binary-searches the shard's directory,
+opens one block, binary-searches its lines, and reads one byte range of a file.
 
 Equal payloads of at least min_bytes are stored once: the capture with the largest page_id is the response, others are revisits
 that name it.
 
 Scale: html moves at most once, and not at all while the duplicated payloads' digests are few enough to broadcast (counted; else
-they are joined with salted keys). Index entries are narrow and sorted by range, so a hot host spreads over shards. Look-ups meet
-shards and segments by key; segments are of bounded size.
+a sort-merge join whose skewed digests adaptive execution splits, as its other side has one row a digest). Archives never move:
+records stream into files, and ranges are read out of them in order of file and place. Index entries are narrow and sorted by range, so
+a hot host spreads over shards. The driver sees the first keys of at most SHARDS shards.
+
+Files are opened by pyarrow's file systems (file, hdfs, s3, gs), by the URI of the shared folder.
 
 Cases: null html is an empty payload; null or odd URLs have keys of their own text; rows with the same page_id are captures of
 their own, and all of the largest id of a payload are responses; a null page_id is smaller than any other; texts of any length are whole;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read. Length and digest of a revisit are those that its record states; those
+of a response are computed from the payload read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -32,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, sized_join
+from .common import TEXT_ROWS, arrow_rows, materialise, shared_dir, sized_join
 
-SEGMENT_BYTES = 4 << 20  # of compressed records
+SEGMENT_BYTES = 64 << 20  # of compressed records, about
 BLOCK_LINES = 3000
-SHARD_ROWS = 50_000
-SEGMENTS = "segment long, data binary, entries array<struct<key:string,page:long,row:long,start:long,length:long>>"
+SHARD_ROWS, SHARDS = 50_000, 4096  # of captures, while there are no more shards than that
+SEGMENTS = "segment long, path string, entries array<struct<key:string,page:long,row:long,start:long,length:long>>"
 
 
 def url_key(url: str | None) -> str:
@@ -88,54 +93,53 @@ def write_segments(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01
     twice = own.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
     marked = sized_join(own, materialise(twice), ["digest"])
 
+    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    kind = pa.list_(pa.struct([("key", pa.string()), ("page", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, made, row = TaskContext.get().partitionId() << 24, 0, 0
-        data, entries = [], []
+        base, made, row, file, entries = TaskContext.get().partitionId() << 24, 0, 0, None, []
+        for batch in batches:
+            for page, url, html, digest, original in zip(*(batch[c].to_pylist() for c in ("page", "url", "html", "digest", "original"))):
+                if file is None:
+                    name = f"segment-{base + made:016d}-{uuid.uuid4().hex}.warc.gz"
+                    file = create(f"{folder}/{name}")
+                    file.write(member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:segment:{base + made}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 20\r\n\r\nformat: WARC/1.1\r\n\r\n\r\n\r\n".encode()))
+                revisit = original is not None and page != original
+                start = file.tell()
+                file.write(member(record("revisit" if revisit else "response", page, url, base64.b32encode(bytes.fromhex(digest)).decode(), html.encode(), original, date)))
+                entries.append({"key": url_key(url), "page": page, "row": (base << 20) + row, "start": start, "length": file.tell() - start})
+                row += 1
+                if file.tell() >= SEGMENT_BYTES:
+                    file.close()
+                    yield segment_row(base + made, f"{folder}/{name}", entries)
+                    made, file, entries = made + 1, None, []
+        if file is not None:
+            file.close()
+            yield segment_row(base + made, f"{folder}/{name}", entries)
 
-        def start() -> None:
-            data[:] = [member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:segment:{base + made}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 20\r\n\r\nformat: WARC/1.1\r\n\r\n\r\n\r\n".encode())]
-            entries.clear()
+    def segment_row(segment: int, path: str, entries: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([path]), pa.array([entries], kind)], names=["segment", "path", "entries"])
 
-        def flush() -> pa.RecordBatch:
-            kind = pa.list_(pa.struct([("key", pa.string()), ("page", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([b"".join(data)], pa.binary()), pa.array([list(entries)], kind)], names=["segment", "data", "entries"])
+    with arrow_rows(pages.sparkSession, TEXT_ROWS):
+        return materialise(marked.select("page", "url", "html", "digest", "original").mapInArrow(run, SEGMENTS))
 
-        start()
-        at = len(data[0])
-        for batch in batches:
-            for i in range(batch.num_rows):
-                page, url, html, digest, original = (batch[c][i].as_py() for c in ("page", "url", "html", "digest", "original"))
-                revisit = original is not None and page != original
-                payload = html.encode()
-                packed = member(record("revisit" if revisit else "response", page, url, base64.b32encode(bytes.fromhex(digest)).decode(), payload, original, date))
-                entries.append({"key": url_key(url), "page": page, "row": (base << 20) + row, "start": at, "length": len(packed)})
-                data.append(packed)
-                at, row = at + len(packed), row + 1
-                if at >= SEGMENT_BYTES:
-                    yield flush()
-                    made += 1
-                    start()
-                    at = len(data[0])
-                    lean()
-        if entries:
-            yield flush()
 
-    return materialise(marked.select("page", "url", "html", "digest", "original").mapInArrow(run, SEGMENTS))
+def create(uri: str):
+    """A new file of the store, with the folders above it."""
+    from pyarrow import fs
 
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path, compression=None)  # records are compressed already
 
-def export_segments(segments: DataFrame, folder: str) -> int:
-    """Writes each segment as a .warc.gz file in a folder of the driver's own file system, one at a time; their number."""
-    import os
 
-    n = 0
-    os.makedirs(folder, exist_ok=True)
-    for r in segments.select("segment", "data").toLocalIterator():
-        with open(os.path.join(folder, f"segment-{r.segment:016d}.warc.gz"), "wb") as f:
-            f.write(r.data)
-        n += 1
-    return n
+def open_file(uri: str) -> pa.NativeFile:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
 
 
 # ---------------------------------------------------------------- the index
@@ -156,7 +160,7 @@ def build_index(segments: DataFrame) -> DataFrame:
     for plain, safe in ESCAPES:
         entries = entries.withColumn("key", F.replace("key", F.lit(plain), F.lit(safe)))
     n = segments.agg(F.sum(F.size("entries"))).first()[0] or 0
-    ordered = entries.repartitionByRange(max(1, -(-n // SHARD_ROWS)), "key", "row").sortWithinPartitions("key", "row")
+    ordered = entries.repartitionByRange(max(1, min(SHARDS, -(-n // SHARD_ROWS))), "key", "row").sortWithinPartitions("key", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -191,7 +195,7 @@ def find_line(first_keys: list[str], block_of, key: str) -> str | None:
 
 def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """(row, page, segment, start, length) of wanted captures (key, row, page); one that is not found is an error. Keys sort by code points in blocks and in shards alike."""
-    starts = index.where("block = 0").select("shard", "first").orderBy("shard").collect()  # one row a shard of SHARD_ROWS captures
+    starts = index.where("block = 0").select("shard", "first").orderBy("shard").collect()  # at most SHARDS rows
     first, shards = [r["first"] for r in starts], [r.shard for r in starts]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,31 +227,37 @@ def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_captures(segments: DataFrame, places: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Reads the byte ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url, and the payload if asked for.
+    """Reads byte ranges of archive files: page_id, payload_bytes, payload_digest, record_type, refers_to, url, and the payload if asked for.
 
-    The length and digest of a response are those of the payload read; a revisit states its response's.
+    places (segment, start, length) are dealt by ranges of file and place; each task reads its ranges in order.
     """
     number = lambda text: None if text is None or text.endswith(":None>") else int(text.rpartition(":")[2].rstrip(">"))
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
+    names = [k for k in kinds if with_payload or k != "payload"]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")}
-        if left.num_rows:
-            view = memoryview(left["data"][0].as_buffer())
-            for start, length in sorted(zip(right["start"].to_pylist(), right["length"].to_pylist())):
-                warc, http, payload = parse_record(zlib.decompress(view[start : start + length], 31))
-                kind = warc["warc-type"]
-                full = kind == "response"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file = None, None
+        for batch in batches:
+            out = []
+            for own, start, length in zip(*(batch[c].to_pylist() for c in ("path", "start", "length"))):
+                if own != path:
+                    if file is not None:
+                        file.close()
+                    path, file = own, open_file(own)
+                file.seek(start)
+                warc, http, payload = parse_record(zlib.decompress(file.read(length), 31))
+                full = warc["warc-type"] == "response"
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if full else warc["warc-payload-digest"].removeprefix("sha1:")
                 if full and f"sha1:{digest}" != warc["warc-payload-digest"]:
                     raise ValueError(f"the payload of {warc['warc-record-id']} is damaged")
-                for k, v in (("page_id", number(warc["warc-record-id"])), ("payload_bytes", len(payload) if full else int(http["content-length"])), ("payload_digest", digest), ("record_type", kind), ("refers_to", number(warc.get("warc-refers-to"))), ("url", warc["warc-target-uri"]), ("payload", payload if with_payload else None)):
-                    out[k].append(v)
-        lean()
-        kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
-        return pa.table({k: pa.array(out[k], kinds[k]) for k in kinds if with_payload or k != "payload"})
+                out.append((number(warc["warc-record-id"]), len(payload) if full else int(http["content-length"]), digest, warc["warc-type"], number(warc.get("warc-refers-to")), warc["warc-target-uri"], payload if with_payload else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(kinds.items()) if k in names], names=names)
+        if file is not None:
+            file.close()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + (", payload binary" if with_payload else "")
-    return segments.select("segment", "data").groupBy("segment").cogroup(places.groupBy("segment")).applyInArrow(run, schema)
+    found = sized_join(places.select("segment", "start", "length"), segments.select("segment", "path"), ["segment"], "inner")
+    return found.repartitionByRange(max(1, 2 * segments.count()), "path", "start").sortWithinPartitions("path", "start").mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
