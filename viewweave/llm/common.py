@@ -282,7 +282,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
 # ---------------------------------------------------------------- blocks of documents
 
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_SCHEMA = "block long, part int, data binary"
 UID_BITS = 20  # rows of a block; a row's number is its block's, shifted, and its place there
 TEXT_ROWS, PACKED_ROWS = 1000, 4  # whole texts and packed blocks that go to Python at a time

@@ -394,7 +394,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, width: int, carry: boo
     if width < 2 * GRAM:
         raise ValueError(f"width must be at least {2 * GRAM}")
     blocks = store_blocks(docs, id_col, text_col, carry=carry)
-    bits = power_of_two(max(16, blocks.count() // 4)).bit_length() - 1
+    bits = power_of_two(max(16, blocks.count() // 8)).bit_length() - 1
     with arrow_rows(docs.sparkSession, PACKED_ROWS):
         shared = materialise(blocks.mapInArrow(_ask_keys(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_keys, BLOCK_SCHEMA))
         least = materialise(blocks.unionByName(shared).groupBy("block").applyInArrow(_ask_runs(bits, width), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_runs(width), BLOCK_SCHEMA))

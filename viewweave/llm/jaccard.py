@@ -357,7 +357,7 @@ def classes_of(blocks: DataFrame, shingle: int, num: int, den: int) -> DataFrame
         raise ValueError(f"a similarity of {num}/{den} is not in (0, 1]")
     spark = blocks.sparkSession
     n_blocks = blocks.count()
-    bits = power_of_two(max(16, n_blocks)).bit_length() - 1  # a set has hundreds of signatures
+    bits = power_of_two(max(16, n_blocks // 2)).bit_length() - 1  # a set has hundreds of signatures
     with arrow_rows(spark, PACKED_ROWS):
         facts = materialise(blocks.mapInArrow(_describe(shingle), FACTS))
         met = materialise(blocks.mapInArrow(_sign(shingle, num, den, bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct())

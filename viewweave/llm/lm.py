@@ -232,7 +232,7 @@ def _score(total: int, distinct: int, weights: list[float]):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Trains on the texts whose crc32(id) mod 5 is not 1 and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = store_blocks(docs, id_col, text_col)
-    bits = power_of_two(max(16, blocks.count() // 4)).bit_length() - 1
+    bits = power_of_two(max(16, blocks.count() // 8)).bit_length() - 1
     with arrow_rows(docs.sparkSession, PACKED_ROWS):
         words_reply = materialise(blocks.mapInArrow(_ask_words(bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_reply_words, BLOCK_SCHEMA))
     sums = _summed(words_reply)
