@@ -39,10 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting that holds while a stored result is computed; the session's own holds again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """While a stored result is computed, at most so many rows (whole texts, packed blocks) go to Python at a time."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    Once it is written its exchanges are of no more use; their files go at once.
+    """
     path = f"{shared_dir(df.sparkSession)}/weave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -71,21 +91,6 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.join(F.broadcast(right) if small_enough(right, limit) else right, keys, how)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While a stored result is computed, at most so many rows (whole texts, packed blocks) go to Python at a time.
-
-    The session's own setting holds again afterwards.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 def fresh(name: str, taken: Iterable[str]) -> str:
     """name, with as many underscores behind it as make it none of the taken names (case counts for nothing)."""
     taken = {t.lower() for t in taken}
