@@ -158,8 +158,9 @@ def test_language_model(docs):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_language_model_score_by_hand(spark, tmp_path):
-    """Bigram estimates, weights by EM on the deleted fold in buckets of the context's count, and every text's score."""
+@pytest.mark.parametrize("order,block_bytes", [(2, 1 << 21), (2, 3000), (3, 1 << 21), (3, 3000)])
+def test_language_model_score_by_hand(spark, tmp_path, order, block_bytes):
+    """Estimates of each order, weights by EM on the deleted fold in buckets of the context's count, and every text's score."""
     from viewweave.llm.lm import DELETED, TEST, score_texts
 
     rng = random.Random(4)
@@ -176,43 +177,51 @@ def test_language_model_score_by_hand(spark, tmp_path):
     table = stored(spark, tmp_path / "d", rows, "doc_id long, text string", 3)
     fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
     texts = [(i, [*words(t), 0]) for i, t in rows]
-    pairs_of = lambda t: list(zip([0, *t], t))  # noqa: E731  the end stands before the first word
+
+    def grams(t):
+        """Per token its word and its contexts, shortest first; the end stands before the first word, and nothing before it."""
+        t = [0, *t]
+        return [(t[j], [tuple(t[j - k : j]) for k in range(1, order) if j >= k]) for j in range(1, len(t))]
 
     def counts(keep):
-        one, two = Counter(), Counter()
+        one, more = Counter(), Counter()
         for i, t in texts:
             if keep(fold[i]):
                 one.update(t)
-                two.update(pairs_of(t))
-        return one, two
+                more.update((*h, w) for w, hs in grams(t) for h in hs)
+        return one, more
 
-    def base(one, w):
-        return (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
+    def times(one, more, h):
+        return one[h[0]] if len(h) == 1 else more[h]
 
-    one, two = counts(lambda f: f not in (TEST, DELETED))
-    held = defaultdict(list)
-    for i, t in texts:
-        if fold[i] == DELETED:
-            for h, w in pairs_of(t):
-                # pairs that the whole training text knows, with their estimates from the other folds
-                if one[h]:
-                    held[one[h].bit_length() - 1].append((two[h, w] / one[h], base(one, w)))
+    def chance(one, more, weight, w, hs):
+        p = (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
+        for h in hs:
+            c = times(one, more, h)
+            m = weight.get((len(h), c.bit_length() - 1), 0.0) if c else 0.0
+            p = m * (more[*h, w] / c if c else 0.0) + (1 - m) * p
+        return p
+
+    one, more = counts(lambda f: f not in (TEST, DELETED))
     weight = {}
-    for b, own in held.items():
-        m = 0.5
-        for _ in range(200):
-            m = sum(m * p / (m * p + (1 - m) * q) for p, q in own) / len(own)
-        weight[b] = min(m, 1 - 1e-6)
-    one, two = counts(lambda f: f != TEST)
+    for k in range(1, order):
+        held = defaultdict(list)
+        for i, t in texts:
+            for w, hs in grams(t) if fold[i] == DELETED else []:
+                if len(hs) >= k and (c := times(one, more, hs[k - 1])):
+                    held[c.bit_length() - 1].append((more[*hs[k - 1], w] / c, chance(one, more, weight, w, hs[: k - 1])))
+        for b, own in held.items():
+            m = 0.5
+            for _ in range(200):
+                m = sum(m * p / (m * p + (1 - m) * q) for p, q in own) / len(own)
+            weight[k, b] = min(m, 1 - 1e-6)
+    one, more = counts(lambda f: f != TEST)
     got = defaultdict(list)
-    for r in score_texts(table).collect():
+    for r in score_texts(table, order=order, block_bytes=block_bytes).collect():
         got[r.doc_id].append(r.score)
     assert len(weight) >= 4
     for i, t in texts:
-        want = 0.0
-        for h, w in pairs_of(t):
-            m = weight.get(one[h].bit_length() - 1, 0.0) if one[h] else 0.0
-            want += math.log10(m * (two[h, w] / one[h] if one[h] else 0.0) + (1 - m) * base(one, w))
+        want = sum(math.log10(chance(one, more, weight, w, hs)) for w, hs in grams(t))
         assert all(abs(x - want) <= 0.01 * abs(want) + 0.01 for x in got[i]), (i, want, got[i])
 
 
