@@ -39,6 +39,18 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
     doc.select(F.to_json(F.struct(F.lit(1).alias("version"), "cameras", "pairs"))).write.mode("overwrite").text(path)
 
 
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """The calibration's text report: a line a camera pair with its best distance and F1, in order of cameras."""
+    line = F.format_string("%s -> %s: tau %.4f px, F1 %.4f", "src_cam", "ref_cam", F.col("tau").cast("double"), F.col("pair_f1").cast("double"))
+    return pairs.orderBy("src_cam", "ref_cam").select(line.alias("value"))
+
+
+def write_matrices(pairs: DataFrame, path: str) -> None:
+    """The homographies alone (a few camera pairs), and the text report beside them."""
+    pairs.select("src_cam", "ref_cam", "H").write.mode("overwrite").parquet(f"{path}/homographies")
+    pair_report(pairs).coalesce(1).write.mode("overwrite").text(f"{path}/report")
+
+
 def write_detections(records: DataFrame, path: str, as_json: bool = False) -> None:
     (records.write.mode("overwrite").json if as_json else records.write.mode("overwrite").parquet)(path)
 
