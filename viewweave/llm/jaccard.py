@@ -8,13 +8,14 @@ gives signatures of at least t features, where t is the largest threshold that n
 share thin signatures by chance. No similar pair is lost: the set with the larger threshold has an agreeing part that
 reaches it, and the other set gives that signature too.
 
-Classes: exact copies count once (per block, then by a fingerprint of the set). Only sets that share a signature directly are ever
+Classes: exact copies count once, by a fingerprint of the set; only the first of them gives signatures. Only sets that share a signature directly are ever
 compared, in two steps. First each group of a shared signature is a star: its members against its smallest member. The classes that
 these links form are known before the second step, in which a group's members are compared only where their classes differ.
 In both steps sizes and parity sketches (their distance never exceeds the sets') drop pairs that cannot be similar; every other pair
 is verified by its exact similarity. A large cluster of near copies thus costs a star, not its pairs.
 
-Scale: signatures are sorted 64-bit keys in packed rows, dealt by their top bits; only members of shared signatures become
+Scale: signatures are sorted 64-bit keys in packed rows, dealt by their top bits, in ROUNDS ranges one after the other (each
+block's are computed anew for each), so that only a range of them is on disk at a time; only members of shared signatures become
 rows. A group of more than TILE members that still has several classes is compared in tiles, a task each. Pairs to verify are
 dealt by their first set, cut in pieces of bounded weight; only texts of such sets move. Nothing is broadcast without a count.
 
@@ -26,6 +27,7 @@ null component; an empty table gives an empty result; other columns are not read
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import BLOCK_SCHEMA, PACKED_ROWS, UID_BITS, arrow_rows, carried, chunked_words, deltas, discard, flat_bytes, in_chunks, lean, materialise, mix, open_block, pack, power_of_two, rows, shingles, sized_join, small_ints, store_blocks, text_valid, undelta, unpack, with_rows
 
 THIN = 3  # the largest threshold of features in a signature
+ROUNDS = 2  # ranges of signatures that meet one after the other; a power of two
 SKETCH = 8  # 64-bit words of a sketch
 TILE = 8192  # members of one side of a tile
 NEAR = 128  # neighbours in a group that are compared by shifts of whole arrays
@@ -144,15 +147,20 @@ def _describe(k: int):
     return run
 
 
-def _sign(k: int, num: int, den: int, bits: int):
+def _sign(k: int, num: int, den: int, bits: int, turn: int = 0, turns: int = 1):
+    """Packed signatures of a block's rows but for those of rows, copies of others; those of range turn of turns (a power of two)."""
+
     def run(batches):
         for batch in batches:
-            for block, data in zip(batch["block"].to_pylist(), batch["data"].to_pylist()):
-                keys, owners, seen = [], [], set()
+            for block, data, copies in zip(batch["block"].to_pylist(), batch["data"].to_pylist(), batch["rows"]):
+                keys, owners = [], []
+                gone = np.asarray(copies.values) if copies.is_valid else np.zeros(0, np.int32)
                 for a, ids, _, sets, sizes in _sets(data, k):
-                    x, y = _prints(sets, sizes)
-                    new = np.array([(p, q) not in seen and not seen.add((p, q)) for p, q in zip(x.tolist(), y.tolist())], bool) & (sizes > 0)
+                    new = (sizes > 0) & ~np.isin(np.arange(a, a + len(sizes)), gone)
                     s, o = signatures(sets[np.repeat(new, sizes)], sizes[new], num, den)
+                    if turns > 1:
+                        own = s >> np.uint64(65 - turns.bit_length()) == turn
+                        s, o = s[own], o[own]
                     keys.append(s)
                     owners.append(np.flatnonzero(new)[o] + a)
                 s, o = np.concatenate(keys), np.concatenate(owners).astype(np.int32)
@@ -357,14 +365,18 @@ def classes_of(blocks: DataFrame, shingle: int, num: int, den: int) -> DataFrame
         raise ValueError(f"a similarity of {num}/{den} is not in (0, 1]")
     spark = blocks.sparkSession
     n_blocks = blocks.count()
-    bits = power_of_two(max(16, n_blocks // 2)).bit_length() - 1  # a set has hundreds of signatures
+    bits = power_of_two(max(16 * ROUNDS, n_blocks // 2)).bit_length() - 1  # a set has hundreds of signatures
     with arrow_rows(spark, PACKED_ROWS):
         facts = materialise(blocks.mapInArrow(_describe(shingle), FACTS))
-        met = materialise(blocks.mapInArrow(_sign(shingle, num, den, bits), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct())
     twice = facts.where("n > 0").groupBy("fp", "fq", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
-    rep_of = materialise(sized_join(facts.where("n > 0"), materialise(twice), ["fp", "fq", "n"]).select("uid", F.coalesce("rep", "uid").alias("rep")))
-    members = materialise(met.join(rep_of, "uid").select("gid", F.col("rep").alias("uid")).distinct())
-    discard(met)
+    twice = materialise(twice)
+    rep_of = materialise(sized_join(facts.where("n > 0"), twice, ["fp", "fq", "n"]).select("uid", F.coalesce("rep", "uid").alias("rep")))
+    todo, met = with_rows(blocks, rep_of.where("uid <> rep").select("uid")).select("block", "data", "rows"), []
+    with arrow_rows(spark, PACKED_ROWS):
+        for turn in range(ROUNDS):
+            met.append(materialise(todo.mapInArrow(_sign(shingle, num, den, bits, turn, ROUNDS), BLOCK_SCHEMA).groupBy("part").applyInArrow(_meet, "gid long, uid long").distinct()))
+    members = materialise(reduce(DataFrame.union, met).distinct())
+    discard(twice, *met)
     groups = materialise(members.groupBy("gid").agg(F.min("uid").alias("lead"), F.count("*").alias("m")).where("m > 1"))
     star = members.join(groups, "gid").where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
     links = verified(plausible(star, facts, num, den), blocks, shingle, num, den)
